@@ -47,4 +47,35 @@ select page_id, strlen(html)::bigint payload_bytes, {_BASE32} payload_digest,
   case when page_id = original then 'response' else 'revisit' end record_type,
   case when page_id <> original then original end refers_to
 from p join g using (h)""",
+    "op8_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, vec_id, score, (row_number() over (partition by query_id order by score desc, vec_id))::int rank from s
+qualify rank <= 5""",
+    "op9_secrets": r"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+hits as (
+  select doc_id, t, kind, ord, regexp_extract_all(t, p, 0) m, regexp_extract_all(t, p, g) v, regexp_split_to_array(t, p) gaps
+  from d, (values ('assign', 0, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2),
+    ('access', 1, 'AKIA[A-Z0-9]+', 0), ('hex', 2, '[0-9a-f]{16,}', 0), ('entropy', 3, '[A-Za-z0-9+/_=-]+', 0)) k(kind, ord, p, g)),
+spans as (
+  select doc_id, kind, ord, unnest(range(1, len(m) + 1)) i, m, v, gaps, list_transform(m, lambda x: length(x)) lm, list_transform(gaps, lambda x: length(x)) lg from hits),
+flat as (
+  select doc_id, kind, ord, m[i] m, v[i] v, (coalesce(list_sum(lg[1:i]), 0) + coalesce(list_sum(lm[1:i - 1]), 0))::bigint s from spans
+  where (kind = 'assign' and length(v[i]) >= 12) or (kind = 'access' and length(m[i]) >= 18) or kind = 'hex'
+    or (kind = 'entropy' and length(m[i]) >= 20 and regexp_matches(m[i], '[0-9]'))),
+high as (
+  select * replace (case when h then 'entropy_hex' else 'entropy_base64' end as kind, case when h then 3 else 4 end as ord) from (
+    select *, regexp_matches(m, '^([0-9a-f]+|[0-9A-F]+)$') h from flat where kind = 'entropy' and not regexp_matches(m, '(?i)example|sample|dummy|placeholder|changeme|test|0123456789|abcdefghij|^d41d8cd98f00b204e9800998ecf8427e$|^da39a3ee5e6b4b0d3255bfef95601890afd80709$|^e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855$'))
+  where list_max(list_transform(range(1, length(m) - 18), lambda j: list_aggregate(string_split(substr(m, j, 20), ''), 'entropy'))) >= case when h then 3.0 else 3.8 end),
+found as (
+  select doc_id, kind, ord, s, kind || ':' || s || ':' || (s + length(m)) x from flat where kind <> 'entropy'
+  union all select doc_id, kind, ord, s, kind || ':' || s || ':' || (s + length(m)) from high),
+g as (
+  select doc_id, count(*) filter (kind = 'assign') a, count(*) filter (kind = 'access') b, count(*) filter (kind = 'hex') c,
+    string_agg(x, ',' order by s, ord) filter (ord < 3) base, string_agg(x, ',' order by s, ord) spans from found group by 1)
+select doc_id, coalesce(a, 0) n_assign, coalesce(b, 0) n_access, coalesce(c, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from d left join g using (doc_id)""",
 }

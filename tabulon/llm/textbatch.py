@@ -18,6 +18,8 @@ _TABLE = _RNG.integers(0, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[str, np.ndarray] = {}
+#: Odd factors of the places in a window of words.
+FACTOR = np.array([pow(0xC2B2AE3D27D4EB4F, k, 2**64) for k in range(17)], U64)
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
@@ -105,14 +107,14 @@ def shingles(batch: Batch, size: int) -> tuple[np.ndarray, np.ndarray]:
     total = len(word)
     value = np.zeros(total, U64)
     window = np.minimum(count, size)
-    factor = U64(1)
+    factor = FACTOR[0]
     of = np.repeat(np.arange(batch.n), count)
     width = window[of]
     for k in range(size):
         part = np.zeros(total, U64)
         part[: total - k] = mix(word[k:] + U64(k)) * factor
         value += np.where(k < width, part, U64(0))
-        factor = factor * U64(0xC2B2AE3D27D4EB4F)
+        factor = FACTOR[k + 1]
     at = np.arange(total) - first[of]
     keep = at <= (count - window)[of]
     doc, value = of[keep], mix(value[keep])
