@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, quality, secrets, toxicity, url_filter, vafile, warc
+from . import bpe, mixing, neardup, quality, secrets, toxicity, url_filter, vafile, warc
 from .sql import SQL
 
 
@@ -20,6 +20,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source_key", "lang_key", "topic_key", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
+def vocabulary() -> str:
+    """Path of the public 49k word vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_bpe": op2_bpe,
     "op3_neardup": op3_neardup,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
