@@ -6,9 +6,10 @@ must meet in the first coordinates - matches + 1 postings of both, under any one
 rising posting length, so pairs held by one document (never a meeting) use up the prefix, and long lists are skipped
 wherever a document has enough rare ones. Meetings become links after an exact comparison of the full shingle sets.
 
-Long postings are not expanded into all pairs. In a few rounds every member meets one pivot of its posting, and
-postings whose members have become one component are skipped from then on. Only pairs of different components
-in what is left meet directly, and only if their signatures agree, so no link between components is lost.
+Short postings meet in full. Long ones are not expanded into all pairs: in a few rounds every member meets a fixed
+number of pivots of its posting, and postings whose members have become one component are skipped from then on. Only
+pairs of different components in what is left meet directly, and only if their signatures agree, so no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -20,20 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import bounded_batches, components, materialize
 from .textbatch import U64, Batch, mix, shingles, slices
 
 
 @dataclass(frozen=True)
 class Params:
-    """words: shingle size; similarity: percent of the union. A pair of exactly 80 % agrees in fewer than 24 of 48
+    """words: shingle size; similarity: percent of the union. A pair of exactly 80 % agrees in fewer than 36 of 64
     coordinates with a probability of about 3e-6, and the chance falls fast above that."""
 
     words: int = 4
     similarity: int = 80
-    coordinates: int = 48
-    matches: int = 24
+    coordinates: int = 64
+    matches: int = 36
     rounds: int = 3
+    pivots: int = 16
     lower: bool = True
 
     @property
@@ -94,16 +96,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     )
 
     def run(batches):
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = (batch.column(i).cast(pa.large_binary()) for i in (2, 3))
-            good, last, held = [], None, None
-            for i in range(len(a)):
-                ta, tb = left[i].as_py(), right[i].as_py()
-                if tb != last:
-                    last, held = tb, shingles(Batch(folded([tb], p)), p.words)[1]
-                good.append(similar(shingles(Batch(folded([ta], p)), p.words)[1], held, p.similarity))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                place: dict[bytes, int] = {}
+                left, right = ([place.setdefault(t, len(place)) for t in batch.column(i).cast(pa.large_binary()).to_pylist()] for i in (2, 3))
+                doc, value = shingles(Batch(folded(list(place), p)), p.words)
+                edge = np.searchsorted(doc, np.arange(len(place) + 1))
+                sets = [value[edge[i] : edge[i + 1]] for i in range(len(place))]
+                good = [similar(sets[x], sets[y], p.similarity) for x, y in zip(left, right)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long")
 
@@ -126,7 +128,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     Rows that share a doc_id are one node of the graph, so they share their component; rows with a null id stay
     alone. Extra columns are ignored; an empty table gives an empty result. Ties: the smallest id is kept.
     """
-    spark = documents.sparkSession
+    bounded_batches(documents.sparkSession)
     sigs = materialize(_signature_table(documents, p), "signatures")
     classes = sigs.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # one row a class goes on; copies find their representative by digest
@@ -143,24 +145,31 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     nodes = index.select("node").distinct()
     texts = materialize(
         documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node").where("text is not null"), "candidate-texts")
+    long = index.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(f"m > {p.pivots}").select("token")
+    brief = index.join(long, "token", "left_anti")
+    open_posts = index.join(long, "token", "left_semi").withColumn("component", F.col("node"))
+    met = brief.select("token", F.col("node").alias("a")).join(brief.select("token", F.col("node").alias("b")), "token").where("a < b").select("a", "b")
     links = None
-    open_posts = index.withColumn("component", F.col("node"))
     for r in range(p.rounds):
-        rank = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("node"))
-        pivots = open_posts.groupBy("token").agg(F.min(rank if r else F.struct(F.lit(0).alias("h"), F.col("node").alias("node"))).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        h = F.xxhash64("node", F.lit(r))
+        pivots = open_posts.groupBy("token", F.pmod(h, F.lit(p.pivots)).alias("slot")).agg(F.min(F.struct(h.alias("h"), "node", "component")).alias("p"))
         pairs = (
-            open_posts.join(pivots.select("token", F.col("p.node").alias("b")), "token")
-            .where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
+            open_posts.join(pivots.select("token", F.col("p.node").alias("b"), F.col("p.component").alias("cb")), "token")
+            .where("component <> cb").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")))
+        pairs = (pairs if r else pairs.unionByName(met)).distinct()
         found = materialize(_verify(_meet(pairs, reps, p), texts, p), "links")
         links = found if links is None else links.unionByName(found)
-        open_posts, left = _unresolved(index, links, p, r)
+        open_posts, left = _unresolved(open_posts, links, r)
         if not left:
             break
     else:
-        side = open_posts.join(reps, "node")
-        one = side.select("token", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        two = side.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        rest = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _agree(p)).select("a", "b").distinct()
+        # a pair meets at the first posting that both still share, and nowhere else
+        held = open_posts.groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("held"))
+        side = open_posts.join(reps, "node").join(held, "node")
+        one = side.select("token", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("held").alias("ha"))
+        two = side.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("held").alias("hb"))
+        first = F.array_min(F.array_intersect("ha", "hb")) == F.col("token")
+        rest = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _agree(p) & first).select("a", "b").distinct()
         links = links.unionByName(materialize(_verify(rest, texts, p), "links"))
     groups = components(links, "a", "b")
     return named.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
@@ -168,10 +177,10 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
         F.coalesce(F.col("doc_id") == F.coalesce("component", "rep", "doc_id"), F.lit(True)).alias("kept"))
 
 
-def _unresolved(index: DataFrame, links: DataFrame, p: Params, r: int) -> tuple[DataFrame, bool]:
+def _unresolved(posts: DataFrame, links: DataFrame, r: int) -> tuple[DataFrame, bool]:
     """Postings whose members aren't of one component yet, with the components so far."""
     groups = components(links, "a", "b")
-    marked = index.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    marked = posts.select("node", "token").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     out = materialize(marked.join(mixed, "token"), f"open-{r}")
     return out, not out.isEmpty()
