@@ -20,11 +20,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .textbatch import U64, Batch, slices
 
 WINDOW, CUT_BITS = 32, 11  # a cut every 2048 bytes on average
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 _SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -171,6 +171,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     A null text counts as empty; an empty text has no ids. Repeated rows are encoded alike; extra columns are
     ignored; an empty table gives an empty result. path: the vocabulary file, which every worker can read.
     """
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
 
     def list_chunks(batches) -> Iterator[pa.RecordBatch]:

@@ -39,6 +39,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Keep Arrow batches to Python workers small, so that a worker's memory doesn't depend on the rows' number or size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path in whatever store holds it."""
     jvm = spark.sparkContext._jvm

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .textbatch import FACTOR, U64, Batch, mix, slices
 
 #: Symbols that count.
@@ -211,6 +212,7 @@ def train(sequences: list[tuple[np.ndarray, int]], *, steps: int = 100, rate: fl
 
 def fit(documents: DataFrame, labels: DataFrame, *, max_rows: int = 1000, max_lines: int = 40) -> Model:
     """Train on at most ``max_rows`` labelled documents (the smallest id hashes) and ``max_lines`` lines of each."""
+    bounded_batches(documents.sparkSession)
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -125,16 +126,14 @@ def shingles(batch: Batch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], value[new]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", target: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", target: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Arrow batches cut into pieces of about ``target`` text bytes (one document at least), with the texts as bytes."""
     for whole in batches:
-        column = whole.column(whole.schema.get_field_index(text))
-        texts = column.cast(pa.large_binary()).to_pylist()
-        at, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t or b"")
-            if held >= target:
-                yield whole.slice(at, i + 1 - at), texts[at : i + 1]
-                at, held = i + 1, 0
-        if at < len(texts):
-            yield whole.slice(at), texts[at:]
+        i = whole.schema.get_field_index(text)
+        size = pc.fill_null(pc.binary_length(whole.column(i)), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(size) - size) // target
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), whole.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                piece = whole.slice(a, b - a)
+                yield piece, piece.column(i).cast(pa.large_binary()).to_pylist()

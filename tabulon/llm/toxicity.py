@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .textbatch import Batch, slices
 
 WINDOW = 24  # words
@@ -122,6 +122,7 @@ def held_out(doc_id) -> F.Column:
 
 def fit(documents: DataFrame, labels: DataFrame, *, max_rows: int = 4000) -> Model:
     """Train on at most ``max_rows`` labelled rows outside the held-out third (the smallest id hashes)."""
+    bounded_batches(documents.sparkSession)
     known = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = materialize(documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")
