@@ -66,23 +66,14 @@ def to_str(e: Expr) -> F.Column:
 
 def float_text(c: F.Column) -> F.Column:
     """Shortest text of a double in Python's form: exponents from 1e16 and below 1e-4."""
-    text = c.cast("string")
-    m, x = F.regexp_extract(text, r"^(-?[\d.]+)E(-?\d+)$", 1), F.regexp_extract(text, r"^(-?[\d.]+)E(-?\d+)$", 2)
-    digits = F.regexp_replace(m, r"[-.]", "")
-    digits = F.regexp_replace(digits, r"0+$", "")
-    digits = F.when(digits == "", "0").otherwise(digits)
-    sign = F.when(m.startswith("-"), "-").otherwise("")
-    e = F.when(x != "", x.cast("int")).otherwise(0)
-    size = F.length(digits)
-    whole = F.when(size > e + 1, F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2))).otherwise(F.concat(F.rpad(digits, e + 1, F.lit("0")), F.lit(".0")))
-    small = F.concat(F.lit("0."), F.lpad(F.lit(""), -e - 1, F.lit("0")), digits)
-    mantissa = F.when(size > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substr(digits, F.lit(2)))).otherwise(digits)
-    power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.length(F.abs(e).cast("string")), F.lit(2)), F.lit("0")))
-    scientific = F.concat(mantissa, F.lit("e"), power)
-    plain = F.when(e >= 16, scientific).when(e >= 0, whole).when(e >= -4, small).otherwise(scientific)
+    text, size = c.cast("string"), F.abs(c)
+    trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", ".0")
+    large, small = trimmed(c.cast("decimal(38,18)").cast("string")), trimmed(c.cast("decimal(38,22)").cast("string"))
+    power = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E-(\d)$", "e-0$1")
+    power = F.regexp_replace(F.regexp_replace(power, "E-", "e-"), "E", "e+")
     return (
         F.when(c.isNull(), F.lit("None")).when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
-        .when(x != "", F.concat(sign, plain)).otherwise(text)
+        .when(~text.contains("E"), text).when((size >= 1e7) & (size < 1e16), large).when((size >= 1e-4) & (size < 1e-3), small).otherwise(power)
     )
 
 
@@ -262,7 +253,7 @@ def _math(fn, kind: str = "float") -> Callable[..., Expr]:
 
 
 def _match(prefix: str, suffix: str = "") -> Callable[..., Expr]:
-    return lambda p, s, *flags: Expr(F.coalesce(string(s).rlike(prefix + java_regex(const(p)) + suffix), F.lit(False)), "bool")
+    return lambda p, s, *flags: Expr(F.coalesce(string(s).rlike(prefix + java_regex(const(p)) + suffix), F.lit(False)), "bool", "match")
 
 
 def java_regex(p: str) -> str:

@@ -208,6 +208,9 @@ class Compiler:
 
         return Expr(F.transform(base.col, run), "array", kind[0].kind if kind else None)
 
+    def _test(self, name: str, kind: str, body: ast.AST):
+        return lambda x: S.truthy(self.inner(name, Expr(x, kind), body)).col
+
     def _listcomp(self, node: ast.ListComp) -> Expr:
         if len(node.generators) != 1 or not isinstance(node.generators[0].target, ast.Name):
             raise UnsupportedExpression("Nested comprehensions")
@@ -218,7 +221,7 @@ class Compiler:
         if base.kind != "array":
             raise UnsupportedExpression(f"Comprehension over {base.kind}")
         for test in loop.ifs:
-            base = Expr(F.filter(base.col, lambda x, t=test, b=base: S.truthy(self.inner(loop.target.id, Expr(x, b.item or "any"), t)).col), "array", base.item)
+            base = Expr(F.filter(base.col, self._test(loop.target.id, base.item or "any", test)), "array", base.item)
         return self._transform(base, loop.target.id, node.elt)
 
     _generatorexp = _listcomp
@@ -376,7 +379,9 @@ class Compiler:
             hit = self._member(a, b, node)
             return Expr(hit if op is ast.In else ~hit, "bool", risky=risky)
         if op in (ast.Is, ast.IsNot, ast.Eq, ast.NotEq):
-            if "null" in (a.kind, b.kind):
+            if "null" in (a.kind, b.kind) and "match" in (a.item, b.item):
+                hit = ~(b if a.kind == "null" else a).col  # the truth of a match stands for the match itself
+            elif "null" in (a.kind, b.kind):
                 hit = (b if a.kind == "null" else a).col.isNull() if a.kind != b.kind else F.lit(True)
                 if "bool" in (a.kind, b.kind) and op in (ast.Is, ast.IsNot):
                     hit = (b if a.kind == "null" else a).col.isNull()
