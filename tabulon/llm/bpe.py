@@ -199,7 +199,8 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc_id", "tk", "packed"])
 
     small = docs.mapInArrow(pack, "doc_id long, tk long, packed binary")
-    joined = small.join(flags, small["doc_id"].eqNullSafe(flags["fd"]) & (small["tk"] == flags["ft"]), "left").select("doc_id", "tk", "packed", "own", "foreign")
+    # the flags grow with the corpus, so they are never broadcast: one plan at every size
+    joined = small.join(flags.hint("merge"), small["doc_id"].eqNullSafe(flags["fd"]) & (small["tk"] == flags["ft"]), "left").select("doc_id", "tk", "packed", "own", "foreign")
 
     def first_pass(batches) -> Iterator[pa.RecordBatch]:
         """Texts without foreign chunks are finished; owners also hand out the chunks that others wait for."""
@@ -227,7 +228,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
         marked.where(~F.col("own")).join(encoded, "chunk").groupBy("doc_id", "tk")
         .agg(F.collect_list(F.struct("k", "ids")).alias("pieces")).select(F.col("doc_id").alias("pd"), F.col("tk").alias("pt"), "pieces")
     )
-    ready = waiting.join(pieces, waiting["doc_id"].eqNullSafe(pieces["pd"]) & (waiting["tk"] == pieces["pt"]), "left").select("doc_id", "packed", "pieces")
+    ready = waiting.join(pieces.hint("merge"), waiting["doc_id"].eqNullSafe(pieces["pd"]) & (waiting["tk"] == pieces["pt"]), "left").select("doc_id", "packed", "pieces")
 
     def second_pass(batches) -> Iterator[pa.RecordBatch]:
         coder, loose = Coder.of(path), zstandard.ZstdDecompressor()
