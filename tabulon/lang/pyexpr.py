@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -42,7 +43,22 @@ class Compiler:
         return self.compile(self.parse(text))
 
     def predicate(self, text: str) -> F.Column:
-        return S.truthy(self.column(text)).col
+        return self._condition(self.parse(text))
+
+    def _condition(self, node: ast.AST) -> F.Column:
+        """A filter condition: null is as good as false here, so comparisons stay bare and reach the scan."""
+        if isinstance(node, ast.BoolOp):
+            parts = [self.compile(x) for x in node.values]
+            if not any(p.risky for p in parts[1:]):
+                conditions = [self._condition(x) for x in node.values]
+                return reduce(lambda x, y: x & y if isinstance(node.op, ast.And) else x | y, conditions)
+        if isinstance(node, ast.Compare) and len(node.ops) == 1 and isinstance(node.ops[0], ast.In) and isinstance(node.comparators[0], (ast.List, ast.Tuple, ast.Set)):
+            values = [x.value for x in node.comparators[0].elts if isinstance(x, ast.Constant)]
+            e = self.compile(node.left)
+            if values and len(values) == len(node.comparators[0].elts) and all(v is not None and isinstance(v, str) == (e.kind == "str") for v in values) and not e.risky:
+                return e.col.isin(*values)
+        e = self.compile(node)
+        return e.col if isinstance(node, ast.Compare) and e.kind == "bool" else S.truthy(e).col
 
     def compile(self, node: ast.AST) -> Expr:
         try:
