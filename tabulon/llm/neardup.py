@@ -134,7 +134,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     # one row a class goes on; copies find their representative by digest
     shared = classes.where("copies > 1").select("d1", "d2", "n", "rep")
     named = materialize(
-        sigs.join(shared, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep"), "sig"), "classes")
+        sigs.join(shared, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), "sig"), "classes")
     reps = materialize(named.where("doc_id = rep and n > 0").select(F.col("doc_id").alias("node"), "n", "sig").dropDuplicates(["node", "n", "sig"]), "representatives")
     posts = reps.select("node", F.posexplode("sig").alias("k", "v")).select("node", (F.col("k").cast("long") * F.lit(1 << 32) + F.col("v").cast("long")).alias("token"))
     common = posts.groupBy("token").agg(F.count(F.lit(1)).alias("len")).where("len > 1")

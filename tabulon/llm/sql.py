@@ -26,7 +26,7 @@ links as (
   from hrefs where x <> ''),
 edges as (
   select distinct src, dst from (select src, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) dst
-  from links where contains(u, '://')) where src <> dst and dst <> ''),
+  from links where contains(u, '://')) where src <> dst and src <> '' and dst <> ''),
 both_ways as (select src a, dst b from edges union select dst, src from edges),
 reach as (select a, a b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
 nodes as (select distinct a k, regexp_extract(a, '^[^/]*') h, regexp_extract(a, '^[^/]*(.*)$', 1) t from both_ways),

@@ -83,7 +83,7 @@ def filter_urls(pages: DataFrame, rules=DEFAULT_RULES, redirects: DataFrame | No
     own = F.col("best")["action"]
     if edges is None:
         return base.select(id_col, "host", "path", F.col("best")["rule"].alias("rule"), F.coalesce(own, F.lit("allow")).alias("verdict"))
-    edges = materialize(edges.where((F.col("src") != F.col("dst")) & (F.col("dst") != "")).distinct(), "links")
+    edges = materialize(edges.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).distinct(), "links")
     if edges.isEmpty():
         return filter_urls(pages, rules, id_col=id_col, url=url, html=None)
     classes = materialize(components(edges, "src", "dst"), "aliases")
