@@ -79,3 +79,33 @@ g as (
 select doc_id, coalesce(a, 0) n_assign, coalesce(b, 0) n_access, coalesce(c, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
 from d left join g using (doc_id)""",
 }
+
+
+def mixing_sql(targets) -> str:
+    """Proportional fitting as a chain of windows over the cells, then bisection for the scale."""
+    dims = ("source", "lang", "topic")
+    named = {d: getattr(targets, d) for d in dims}
+    listed = lambda d: ", ".join(f"'{k}'" for k in named[d])
+    goals = {d: ", ".join(f"('{k}', {float(v)!r}::double)" for k, v in {**named[d], "other": targets.other}.items()) for d in dims}
+    ctes = [
+        r"k as (select doc_id, case when source in (" + listed("source") + r") then source else 'other' end source_key, case when lang in (" + listed("lang") + r") then lang else 'other' end lang_key, "
+        r"case when topic in (" + listed("topic") + r") then topic else 'other' end topic_key, tokens from (select *, case when text is null then 'general' when regexp_matches(text, '(?i)licen[cs]ed? under|copyright|licence|license') then 'legal' "
+        r"when contains(text, '|') then 'tables' when regexp_matches(text, '[0-9]{4}') then 'numbers' else 'general' end topic, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint tokens from documents))",
+        "c as materialized (select source_key, lang_key, topic_key, sum(tokens)::double / (select sum(tokens) from k) a from k group by 1, 2, 3 having sum(tokens) > 0)",
+    ]
+    for d in dims:
+        ctes.append(f"g_{d} as materialized (select v.k, v.t / sum(v.t) over () t from (values {goals[d]}) v(k, t) where v.k in (select {d}_key from c))")
+    ctes.append("w0 as (select c.*, a w, g_source.t t_source, g_lang.t t_lang, g_topic.t t_topic from c join g_source on g_source.k = source_key join g_lang on g_lang.k = lang_key join g_topic on g_topic.k = topic_key)")
+    steps = 3 * targets.rounds
+    for i in range(steps):
+        d = dims[i % 3]
+        kind = " materialized" if i % 10 == 9 or i == steps - 1 else ""
+        ctes.append(f"w{i + 1} as{kind} (select * replace (w * t_{d} / sum(w) over (partition by {d}_key) as w) from w{i})")
+    ctes.append("b0 as (select -30::double lo, 30::double hi)")
+    for i in range(60):
+        ctes.append(f"b{i + 1} as materialized (select case when s < {targets.tokens_kept!r} then m else lo end lo, case when s < {targets.tokens_kept!r} then hi else m end hi from (select lo, hi, (lo + hi) / 2 m, sum(a * least(1, exp((lo + hi) / 2) * w / a)) s from b{i}, w{steps} group by lo, hi))")
+    ctes.append(f"p as (select source_key, lang_key, topic_key, w / a weight, least(1, exp(hi) * w / a) probability from w{steps}, b60)")
+    return "with " + ",\n".join(ctes) + f"""
+select doc_id, source_key, lang_key, topic_key, tokens, round(coalesce(weight, 1), 6) weight, round(coalesce(probability, 1), 6) probability,
+  ('0x' || substr(md5('{targets.seed}:' || doc_id), 1, 8))::bigint / 4294967296.0 < coalesce(probability, 1) kept
+from k left join p using (source_key, lang_key, topic_key)"""
