@@ -7,9 +7,10 @@ rising posting length, so pairs held by one document (never a meeting) use up th
 wherever a document has enough rare ones. Meetings become links after an exact comparison of the full shingle sets.
 
 Short postings meet in full. Long ones are not expanded into all pairs: in a few rounds every member meets a fixed
-number of pivots of its posting, and postings whose members have become one component are skipped from then on. Only
-pairs of different components in what is left meet directly, and only if their signatures agree, so no link between
-components is lost.
+number of pivots of its posting, and postings whose members have become one component are skipped from then on. What
+is left falls into families, joined by the postings that are still open; a family is dealt into blocks of bounded
+size, and every two blocks meet in a task of their own, which compares the pairs of different components whose
+signatures agree. So no link between components is lost, and no pair becomes a row unless it is a link.
 """
 
 from __future__ import annotations
@@ -163,20 +164,62 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
         if not left:
             break
     else:
-        # a pair meets at the first posting that both still share, and nowhere else
-        held = open_posts.groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("held"))
-        side = open_posts.join(reps, "node").join(held, "node")
-        one = side.select("token", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("held").alias("ha"))
-        two = side.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("held").alias("hb"))
-        first = F.array_min(F.array_intersect("ha", "hb")) == F.col("token")
-        rest = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _agree(p) & first).select("a", "b").distinct()
-        links = links.unionByName(materialize(_verify(rest, texts, p), "links"))
+        links = links.unionByName(materialize(_leftovers(open_posts, texts, p), "links"))
     groups = components(links, "a", "b")
     return named.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "rep", "doc_id"), F.lit(True)).alias("kept"))
 
 
+BLOCK_BYTES, BLOCK_NODES = 4_000_000, 2000
+
+
+def _leftovers(posts: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) between nodes of different components whose open postings connect them."""
+    first = posts.groupBy("token").agg(F.min("node").alias("m"))
+    family = components(posts.join(first, "token").where("node <> m").select("node", "m").distinct(), "node", "m").withColumnRenamed("component", "family")
+    nodes = posts.select("node", "component").distinct().join(family, "node").join(texts, "node")
+    sizes = nodes.groupBy("family").agg(F.ceil(F.greatest(F.sum(F.octet_length("text")) / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_NODES)).cast("int").alias("blocks"))
+    dealt = nodes.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.select("family", "node", "component", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = met.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        node, component, own = (table.column(c).to_numpy() for c in ("node", "component", "own"))
+        raw = folded(table.column("text").cast(pa.large_binary()).to_pylist(), p)
+        doc, value = shingles(Batch(raw), p.words)
+        n, _, _, sig = signatures(raw, p)
+        edge = np.searchsorted(doc, np.arange(len(raw) + 1))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        labels, count = np.unique(component, return_counts=True)
+        main = labels[np.argmax(count)]
+        found: list[tuple[int, int]] = []
+        # pairs within the main component need no look, so one side at least is outside it
+        for rows, columns in ((left[component[left] != main], right), (right[component[right] != main], left[component[left] == main])):
+            in_columns = np.zeros(len(raw), bool)
+            in_columns[columns] = True
+            sub = in_columns[doc]
+            sub_doc, sub_value = doc[sub], value[sub]
+            order = np.argsort(sub_value, kind="stable")
+            sub_doc, sub_value = sub_doc[order], sub_value[order]
+            for x in rows.tolist():
+                close = columns[(component[columns] != component[x]) & (np.minimum(n[columns], n[x]) * 100 >= np.maximum(n[columns], n[x]) * p.similarity)]
+                close = close[(sig[close] == sig[x]).sum(1) >= p.matches] if len(close) else close
+                if not len(close):
+                    continue
+                mine = value[edge[x] : edge[x + 1]]
+                lo, hi = np.searchsorted(sub_value, mine, "left"), np.searchsorted(sub_value, mine, "right")
+                width = hi - lo
+                hits = np.repeat(lo - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
+                both = np.bincount(sub_doc[hits], minlength=len(raw))[close]
+                good = close[100 * both >= p.similarity * (n[close] + n[x] - both)]
+                found += [(min(node[x], node[y]), max(node[x], node[y])) for y in good.tolist()]
+        return pa.table({"a": pa.array([int(f[0]) for f in found], pa.int64()), "b": pa.array([int(f[1]) for f in found], pa.int64())})
+
+    return keyed.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _unresolved(posts: DataFrame, links: DataFrame, r: int) -> tuple[DataFrame, bool]:
     """Postings whose members aren't of one component yet, with the components so far."""
     groups = components(links, "a", "b")
