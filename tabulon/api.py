@@ -105,3 +105,42 @@ def query_pandas(spark: SparkSession, text: str, frame, join=None, **options):
 
     joins = {k: from_pandas(spark, join) for k in ("b", "B")} if join is not None else None
     return Engine(spark, **options).query(text, from_pandas(spark, frame), joins).df.toPandas()
+
+
+def query_csv(spark: SparkSession, text: str, input_path: str, dialect, output_path: str | None = None, output_dialect=None, join_paths: dict[str, str] | None = None, mode: str = "errorifexists", **options) -> Result:
+    """A query over a delimited file; join tables are read in the same dialect. With an output path the result is
+    written there, and what the format can't hold is added to the warnings."""
+    from .sources.delimited import read_delimited, sink_warnings, write_delimited
+
+    joins = {k: read_delimited(spark, p, dialect) for k, p in (join_paths or {}).items()}
+    result = Engine(spark, **options).query(text, read_delimited(spark, input_path, dialect), joins)
+    if joins and dialect.header:
+        result.warnings.append("The first record of the join table was taken as its header")
+    if output_path is not None:
+        target = output_dialect or dialect
+        result.warnings += sink_warnings(result.table, target)
+        write_delimited(result.table, output_path, target, single_file=True, mode=mode)
+    return result
+
+
+def query_json(spark: SparkSession, text: str, input_path: str, output_path: str | None = None, mode: str = "errorifexists", **options) -> Result:
+    """A query over JSON lines: `a` is the record's object."""
+    from .sources.memory import read_json_lines, write_json_lines
+
+    result = Engine(spark, **options).query(text, read_json_lines(spark, input_path))
+    if output_path is not None:
+        write_json_lines(result.table, output_path, mode)
+    return result
+
+
+def query_sqlite(spark: SparkSession, text: str, database: str, table: str, output_path: str | None = None, output_dialect=None, join_tables: tuple[str, ...] = (), mode: str = "errorifexists", **options) -> Result:
+    """A query over a table of a SQLite database; other tables can be joined by their names."""
+    from .sources.delimited import write_delimited
+    from .sources.dialect import Dialect
+    from .sources.memory import read_sqlite
+
+    joins = {t: read_sqlite(spark, database, t) for t in join_tables}
+    result = Engine(spark, **options).query(text, read_sqlite(spark, database, table), joins)
+    if output_path is not None:
+        write_delimited(result.table, output_path, output_dialect or Dialect(",", "quoted"), single_file=True, mode=mode)
+    return result

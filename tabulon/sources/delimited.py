@@ -21,10 +21,10 @@ BOM = "﻿"
 def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """(file, at, line) of all lines; at orders the lines of a file. A UTF-8 mark at the start is dropped."""
     if encoding == "latin-1":
-        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", F.lit("ISO-8859-1")).alias("t"))
-        lines = files.select("file", F.posexplode(F.split("t", r"\r\n|\r|\n")).alias("at", "line"), F.length("t").alias("n"))
-        last = F.col("at") == F.max("at").over(Window.partitionBy("file"))
-        return lines.where(~((F.col("line") == "") & last)).select("file", F.col("at").cast("bigint").alias("at"), "line")
+        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "ISO-8859-1").alias("t"))
+        cut = files.select("file", F.split("t", r"\r\n|\r|\n").alias("x"))
+        lines = cut.select("file", F.size("x").alias("n"), F.posexplode("x").alias("at", "line"))
+        return lines.where(~((F.col("line") == "") & (F.col("at") == F.col("n") - 1))).select("file", F.col("at").cast("bigint").alias("at"), "line")
     text = spark.read.text(path)
     return text.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
 
@@ -223,14 +223,15 @@ def write_delimited(t: Table, path: str, d: Dialect = Dialect(), *, single_file:
     """Write records as text in their order, with the header, if there is one, as the first line of the output."""
     from ..plans.table import order_by
 
-    lines = record_lines(t, d)
-    if t.order:
-        lines = lines.orderBy(*order_by(t.order))
-    out = lines.select("line")
+    t = t.ordered()
+    lines = record_lines(t, d).withColumn("__part", F.lit(1))
     if t.header is not None:
         if len(t.header) != len(t.columns):
             raise IOHandlingError("The header and the records differ in width")
         cells = [quote(F.lit(h), d) if d.policy.startswith("quoted") else F.lit(h) for h in t.header]
-        head = t.df.sparkSession.range(1).select(F.concat_ws(d.delim, *cells).alias("line"))
-        out = head.unionByName(out)
-    (out.coalesce(1) if single_file else out).write.mode(mode).option("lineSep", "\n").text(path)
+        types = dict(lines.dtypes)
+        head = t.df.sparkSession.range(1).select(F.concat_ws(d.delim, *cells).alias("line"), *[F.lit(None).cast(types[c]).alias(c) for c, _ in t.order], F.lit(0).alias("__part"))
+        lines = head.unionByName(lines)
+    key = [F.col("__part"), *order_by(t.order)]
+    out = lines.coalesce(1).sortWithinPartitions(*key) if single_file else lines.orderBy(*key)
+    out.select("line").write.mode(mode).option("lineSep", "\n").text(path)
