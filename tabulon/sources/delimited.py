@@ -30,7 +30,7 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataF
 
 
 def check_utf8(df: DataFrame) -> DataFrame:
-    bad = F.col("line").contains("�")
+    bad = ~F.is_valid_utf8("line")
     return df.where(F.when(~bad, True).otherwise(F.raise_error(F.lit("Unable to decode the input as UTF-8; try latin-1")).cast("boolean")))
 
 
