@@ -34,8 +34,8 @@ def check_utf8(df: DataFrame) -> DataFrame:
     return df.where(F.when(~bad, True).otherwise(F.raise_error(F.lit("Unable to decode the input as UTF-8; try latin-1")).cast("boolean")))
 
 
-def _numbered_lines(lines: DataFrame) -> DataFrame:
-    return dense_numbers(lines, "ln", [("file", True), ("at", True)])
+def _numbered_lines(lines: DataFrame, presorted: bool) -> DataFrame:
+    return dense_numbers(lines, "ln", None if presorted else [("file", True), ("at", True)])
 
 
 def _comment(line: Column, d: Dialect) -> Column | None:
@@ -47,13 +47,13 @@ def _comment(line: Column, d: Dialect) -> Column | None:
     return tests[0] if len(tests) == 1 else tests[0] | tests[1] if tests else None
 
 
-def records(lines: DataFrame, d: Dialect) -> DataFrame:
+def records(lines: DataFrame, d: Dialect, presorted: bool = False) -> DataFrame:
     """(ln, text): one row a record, ln the number of its first line. Comment lines go, but not inside a record.
 
     For quoted_rfc a record goes on while its quotes are odd: quote parities are summed per block of lines, then
     within blocks, so that no task sees the whole file. Lines that look like comments never open or close a quote.
     """
-    numbered = _numbered_lines(lines)
+    numbered = _numbered_lines(lines, presorted)
     comment = _comment(F.col("line"), d)
     if d.policy != "quoted_rfc":
         return (numbered.where(~comment) if comment is not None else numbered).select("ln", F.col("line").alias("text"))
@@ -126,12 +126,13 @@ def read_delimited(spark: SparkSession, path: str, d: Dialect = Dialect(), *, wi
     lines = read_lines(spark, path, d.encoding)
     if check and d.encoding == "utf-8":
         lines = check_utf8(lines)
-    return table_of_lines(lines, d, width=width, check=check)
+    return table_of_lines(lines, d, width=width, check=check, presorted=len(lines.inputFiles()) == 1)
 
 
-def table_of_lines(lines: DataFrame, d: Dialect, *, width: int | None = None, check: bool = True) -> Table:
-    parsed = records(lines, d).withColumn("f", fields(F.col("text"), d)).withColumn("bad", broken_quotes(F.col("text"), d))
-    numbered = dense_numbers(parsed, NUMBER, [("ln", True)])
+def table_of_lines(lines: DataFrame, d: Dialect, *, width: int | None = None, check: bool = True, presorted: bool = False) -> Table:
+    """presorted: the lines come in file order already, as those of one file do; nothing is sorted then."""
+    parsed = records(lines, d, presorted).withColumn("f", fields(F.col("text"), d)).withColumn("bad", broken_quotes(F.col("text"), d))
+    numbered = dense_numbers(parsed, NUMBER, None if presorted and d.policy != "quoted_rfc" else [("ln", True)])
     warnings: list[str] = []
     if check or width is None:
         size = F.size("f")
