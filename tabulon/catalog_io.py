@@ -17,7 +17,7 @@ from .sources.scratch import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> Table:
-    return from_parquet(spark, f"{sf_dir}/{name}.parquet")
+    return from_parquet(spark, f"{sf_dir}/{name}.parquet").numbered()
 
 
 def _round_trip(spark: SparkSession, t: Table, d: Dialect) -> Table:

@@ -43,7 +43,7 @@ def aggregate(name: str, e: Expr, order: list[Column], strict: bool = False) ->
     if name == "COUNT":
         return Expr(F.count(F.lit(1)), "int")
     if name == "ANY_VALUE":
-        return Expr(F.min_by(e.col, F.struct(*order)), e.kind, e.item, dtype=e.dtype)
+        return Expr(F.min_by(e.col, order[0] if len(order) == 1 else F.struct(*order)), e.kind, e.item, dtype=e.dtype)
     if name == "ARRAY_AGG":
         return Expr(in_order(e, order), "array", e.kind)
     if e.kind == "ts" and name in ("MIN", "MAX"):

@@ -44,7 +44,7 @@ def distinct_rows(df: DataFrame, columns: list[str], order: list[tuple[str, bool
         return df.select(*columns).distinct()
     aggs = [F.count(F.lit(1)).alias(count)] if count else []
     if order:
-        place = F.struct(*[F.col(c) for c, _ in order])
+        place = F.struct(*[F.col(c) for c, _ in order]) if len(order) > 1 else F.col(order[0][0])
         aggs.append((F.min if order[0][1] else F.max)(place).alias("__first"))
     out = df.groupBy(*columns).agg(*aggs)
-    return out.select(*columns, *([count] if count else []), *[F.col("__first")[c].alias(c) for c, _ in order])
+    return out.select(*columns, *([count] if count else []), *[(F.col("__first")[c] if len(order) > 1 else F.col("__first")).alias(c) for c, _ in order])

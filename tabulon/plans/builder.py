@@ -307,6 +307,7 @@ def _aggregate(spec: QuerySpec, df: DataFrame, compiler: Compiler, order: list[t
     keys = [compiler.compile(n) for n in key_nodes]
     dumps = [ast.dump(n) for n in key_nodes]
     columns, exprs, header_items = [], [], []
+    by_key: dict[str, str] = {}
     names = compiler.names
     for item in spec.items:
         text, alias = split_alias(item)
@@ -345,13 +346,15 @@ def _aggregate(spec: QuerySpec, df: DataFrame, compiler: Compiler, order: list[t
         own = e.name if names.resolve(node) is not None else None
         columns.append(label)
         if ast.dump(node) in dumps:
-            exprs.append(F.first(F.col(f"g_{dumps.index(ast.dump(node))}")).alias(label))
+            by_key[label] = f"g_{dumps.index(ast.dump(node))}"  # taken from the key after grouping
         else:
             exprs.append(A.constant(e, text).col.alias(label))
         header_items.append(Item(e, alias or own, alias))
     if keys:
         keyed = df.withColumns({f"g_{i}": k.col for i, k in enumerate(keys)})
-        out = keyed.groupBy(*[f"g_{i}" for i in range(len(keys))]).agg(*exprs)
+        groups = keyed.groupBy(*[f"g_{i}" for i in range(len(keys))])
+        out = groups.agg(*exprs) if exprs else groups.agg(F.count(F.lit(1)).alias("n_all"))
+        out = out.withColumns({c: F.col(k) for c, k in by_key.items()})
         sort = [(f"g_{i}", True) for i in range(len(keys))]
     else:
         out = df.agg(*exprs, F.count(F.lit(1)).alias("n_all")).where("n_all > 0").drop("n_all")

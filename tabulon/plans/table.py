@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,7 @@ class Table:
     nf: str | None = None
     sorted: bool = True
     warnings: list[str] = field(default_factory=list)
+    placed: Callable[[], Table] | None = None  # the table with its order columns, for sources that read them only on demand
 
     @property
     def types(self) -> list[T.DataType]:
@@ -41,6 +43,8 @@ class Table:
         """The table with dense record numbers, made without a single-task window."""
         if self.nr:
             return self
+        if self.placed:
+            return self.placed().numbered()
         df = dense_numbers(self.df, NUMBER, self.order)
         return replace(self, df=df, nr=NUMBER, order=[(NUMBER, True)])
 
@@ -48,6 +52,8 @@ class Table:
         """The table with order columns; a plain DataFrame gets its partition order."""
         if self.order:
             return self
+        if self.placed:
+            return self.placed()
         return replace(self, df=self.df.withColumn(ORDER, F.monotonically_increasing_id()), order=[(ORDER, True)])
 
     def result(self, ordered: bool = False) -> DataFrame:
@@ -97,10 +103,14 @@ def from_parquet(spark: SparkSession, path: str) -> Table:
     names = list(df.columns)
     inner = [f"c{i + 1}" for i in range(len(names))]
     picked = [F.col(f"`{n}`").alias(c) for n, c in zip(names, inner, strict=True)]
-    if len(df.inputFiles()) == 1:
-        return Table(df.select(*picked, (F.col("_metadata.row_index") + 1).alias(NUMBER)), inner, names, [(NUMBER, True)], NUMBER)
-    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
-    return Table(df.select(*picked, *place), inner, names, [("__file", True), ("__row", True)])
+
+    def placed() -> Table:
+        if len(df.inputFiles()) == 1:
+            return Table(df.select(*picked, (F.col("_metadata.row_index") + 1).alias(NUMBER)), inner, names, [(NUMBER, True)], NUMBER)
+        place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+        return Table(df.select(*picked, *place), inner, names, [("__file", True), ("__row", True)])
+
+    return Table(df.select(*picked), inner, names, placed=placed)
 
 
 def from_rows(spark: SparkSession, rows: list[list], header: list[str] | None = None) -> Table:
