@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
-from .textbatch import U64, Batch, slices
+from .textbatch import U64, Batch, slices, trim
 
 WINDOW, CUT_BITS = 32, 11  # a cut every 2048 bytes on average
 CACHE_WORDS = 150_000
@@ -206,8 +206,8 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
         """Texts without foreign chunks are finished; owners also hand out the chunks that others wait for."""
         coder, loose = Coder.of(path), zstandard.ZstdDecompressor()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                rows = whole.slice(at, 500).to_pylist()
+            for at in range(0, whole.num_rows, 300):
+                rows = whole.slice(at, 300).to_pylist()
                 cut = chunks([loose.decompress(r["packed"]) for r in rows])
                 out = []
                 owned = [c[k] for r, c in zip(rows, cut) for k in r["own"] or ()]
@@ -219,6 +219,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
                     out.append({"kind": DONE, "doc_id": rows[i]["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
                 out += [{"kind": WAITING, "doc_id": r["doc_id"], "tk": r["tk"], "packed": r["packed"]} for r in rows if r["foreign"]]
                 yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+        trim()
 
     state = materialize(joined.mapInArrow(first_pass, _FIELDS), "encoded")
     done = state.where(F.col("kind") == DONE).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -233,12 +234,13 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     def second_pass(batches) -> Iterator[pa.RecordBatch]:
         coder, loose = Coder.of(path), zstandard.ZstdDecompressor()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                rows = whole.slice(at, 500).to_pylist()
+            for at in range(0, whole.num_rows, 300):
+                rows = whole.slice(at, 300).to_pylist()
                 given = [{p["k"]: p["ids"] for p in r["pieces"] or ()} for r in rows]
                 found = [coder.digest(ids) for ids in encode_texts(coder, chunks([loose.decompress(r["packed"]) for r in rows]), given)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        trim()
 
     return done.unionByName(ready.mapInArrow(second_pass, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

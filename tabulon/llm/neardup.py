@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, materialize
-from .textbatch import U64, Batch, mix, shingles, slices
+from .textbatch import U64, Batch, mix, shingles, slices, trim
 
 
 @dataclass(frozen=True)
@@ -98,8 +98,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 150):
+                batch = whole.slice(at, 150)
                 place: dict[bytes, int] = {}
                 left, right = ([place.setdefault(t, len(place)) for t in batch.column(i).cast(pa.large_binary()).to_pylist()] for i in (2, 3))
                 doc, value = shingles(Batch(folded(list(place), p)), p.words)
@@ -107,6 +107,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
                 sets = [value[edge[i] : edge[i + 1]] for i in range(len(place))]
                 good = [similar(sets[x], sets[y], p.similarity) for x, y in zip(left, right)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        trim()
 
     return joined.mapInArrow(run, "a long, b long")
 
@@ -171,7 +172,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
         F.coalesce(F.col("doc_id") == F.coalesce("component", "rep", "doc_id"), F.lit(True)).alias("kept"))
 
 
-BLOCK_BYTES, BLOCK_NODES = 4_000_000, 2000
+BLOCK_BYTES, BLOCK_NODES = 1_000_000, 2000
 
 
 def _leftovers(posts: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -215,6 +216,7 @@ def _leftovers(posts: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
                 both = np.bincount(sub_doc[hits], minlength=len(raw))[close]
                 good = close[100 * both >= p.similarity * (n[close] + n[x] - both)]
                 found += [(min(node[x], node[y]), max(node[x], node[y])) for y in good.tolist()]
+        trim()
         return pa.table({"a": pa.array([int(f[0]) for f in found], pa.int64()), "b": pa.array([int(f[1]) for f in found], pa.int64())})
 
     return keyed.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").distinct()

@@ -7,6 +7,7 @@ numpy passes, whatever the length of a document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ def _powers(kind: str, base: int, n: int) -> np.ndarray:
         have = np.full(size, base, U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _POWERS[kind] = have
     return have
 
@@ -126,6 +127,15 @@ def shingles(batch: Batch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], value[new]
 
 
+def trim() -> None:
+    """Give freed memory back, so that a worker that is kept for other stages doesn't hold this one's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", target: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Arrow batches cut into pieces of about ``target`` text bytes (one document at least), with the texts as bytes."""
     for whole in batches:
@@ -137,3 +147,4 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", target: int =
             if b > a:
                 piece = whole.slice(a, b - a)
                 yield piece, piece.column(i).cast(pa.large_binary()).to_pylist()
+    trim()
