@@ -35,8 +35,9 @@ class Params:
     similarity: int = 80
     coordinates: int = 64
     matches: int = 36
-    rounds: int = 3
-    pivots: int = 16
+    rounds: int = 2
+    pivots: int = 4
+    short: int = 16  # postings of at most so many nodes meet in full
     lower: bool = True
 
     @property
@@ -147,7 +148,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     nodes = index.select("node").distinct()
     texts = materialize(
         documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node").where("text is not null"), "candidate-texts")
-    long = index.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(f"m > {p.pivots}").select("token")
+    long = index.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(f"m > {p.short}").select("token")
     brief = index.join(long, "token", "left_anti")
     open_posts = index.join(long, "token", "left_semi").withColumn("component", F.col("node"))
     met = brief.select("token", F.col("node").alias("a")).join(brief.select("token", F.col("node").alias("b")), "token").where("a < b").select("a", "b")

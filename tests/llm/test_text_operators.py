@@ -127,7 +127,7 @@ def brute_components(texts, size=4, percent=80):
 @pytest.mark.parametrize("pivots,rounds,block", [(16, 3, 2000), (2, 1, 2000), (1, 1, 5)])
 def test_near_duplicates(docs, monkeypatch, pivots, rounds, block):
     monkeypatch.setattr(neardup, "BLOCK_NODES", block)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, neardup.Params(pivots=pivots, rounds=rounds)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, neardup.Params(pivots=pivots, rounds=rounds, short=pivots)).collect()}
     assert got == brute_components(TEXTS)
 
 
