@@ -4,6 +4,7 @@ import sqlite3
 
 import pytest
 
+from tabulon import catalog_io
 from tabulon.api import Engine
 from tabulon.errors import IOHandlingError
 from tabulon.plans.table import from_rows
@@ -114,6 +115,12 @@ def test_sqlite(spark, tmp_path):
         read_sqlite(spark, path, "missing")
 
 
+def test_pandas_source_counts_every_supplier(spark, tmp_path):
+    spark.range(2500).selectExpr("id as s_suppkey", "cast(id % 25 as int) as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = catalog_io.pandas_source(spark, str(tmp_path))
+    assert dict(got.dtypes)["n"] == "bigint" and sorted(map(tuple, got.collect())) == [(k, 100) for k in range(25)]
+
+
 def test_detection():
     lines = [f"{i};a,b;{i}" for i in range(12)]
     assert detect_by_content(lines).delim == ";"
