@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .api import Engine
 from .plans.table import NUMBER, Table, from_dataframe, from_parquet
 from .quality import tools
-from .sources.delimited import read_delimited, read_lines, table_of_lines, write_delimited
-from .sources.dialect import Dialect, detect_by_content
+from .sources.delimited import detect_file, read_delimited, table_of_lines, write_delimited
+from .sources.dialect import Dialect
 from .sources.memory import from_pandas, read_json_lines, write_json_lines
 from .sources.scratch import scratch_path
 
@@ -105,8 +105,7 @@ def lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detect_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     write_delimited(_table(spark, sf_dir, "customer"), path, Dialect(";", "quoted", header=True))
-    sample = [r["line"] for r in read_lines(spark, path).orderBy("file", "at").limit(50).collect()]
-    d = detect_by_content(sample)
+    d = detect_file(spark, path)
     return spark.createDataFrame([(d.delim, d.policy)], "delim string, policy string")
 
 

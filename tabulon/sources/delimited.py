@@ -13,7 +13,7 @@ from ..functions.scalar import float_text, strip
 from ..lang.names import kind_of
 from ..operators.ordering import dense_numbers
 from ..plans.table import NUMBER, WIDTH, Table
-from .dialect import Dialect
+from .dialect import Dialect, candidates
 
 BOM = "﻿"
 
@@ -107,6 +107,42 @@ def broken_quotes(text: Column, d: Dialect) -> Column:
     return text.contains('"') & F.exists(parts, lambda x: x.contains('"') & ~x.rlike(whole))
 
 
+def detect_lines(lines: DataFrame, delims: tuple[str, ...] = ("\t", ",", ";", "|"), *, min_lines: int = 10, comment_prefix: str = "#", presorted: bool = False) -> Dialect | None:
+    """The dialect that dialect.detect_by_content finds, judged over all lines of the file.
+
+    One aggregate judges the policies of one line a record, and another quoted_rfc if some line has an odd number of
+    quotes. Without such a line every line is a record, and quoted_rfc is what quoted is.
+    """
+    tried = candidates(delims, comment_prefix)
+    comment = _comment(F.col("line"), Dialect(comment_prefix=comment_prefix))
+    plain = (lines.where(~comment) if comment is not None else lines).select(F.col("line").alias("text"))
+    odd = F.length(F.regexp_replace("text", '[^"]', "")) % 2 == 1
+
+    def judged(df: DataFrame, some: list[Dialect]) -> tuple[dict[Dialect, tuple[int, int, int, bool]], bool]:
+        parts = []
+        for d in some:
+            n = F.size(fields(F.col("text"), d))
+            parts.append(F.struct(F.count(F.lit(1)).alias("k"), F.min(n).alias("low"), F.max(n).alias("high"), F.bool_or(broken_quotes(F.col("text"), d)).alias("bad")))
+        row = df.agg(F.array(*parts).alias("x"), F.bool_or(odd).alias("odd")).first()
+        return {d: tuple(x) for d, x in zip(some, row["x"], strict=True)}, bool(row["odd"])
+
+    found, multi = judged(plain, [d for d in tried if d.policy != "quoted_rfc"])
+    rfc = [d for d in tried if d.policy == "quoted_rfc"]
+    if multi and rfc:
+        found |= judged(records(lines, rfc[0], presorted), rfc)[0]
+    best, width = None, 1
+    for d in tried:
+        k, low, high, bad = found.get(d, (0, 0, 0, True))
+        if k >= min_lines and not bad and low == high and high > width:
+            best, width = d, high
+    return best
+
+
+def detect_file(spark: SparkSession, path: str, **options) -> Dialect | None:
+    lines = read_lines(spark, path)
+    return detect_lines(lines, presorted=len(lines.inputFiles()) == 1, **options)
+
+
 @dataclass
 class Raw:
     """What set_header needs to change its mind about the first record."""

@@ -71,22 +71,27 @@ def split_line(line: str, d: Dialect) -> tuple[list[str], bool]:
     return fields, bad
 
 
+def candidates(delims: tuple[str, ...], comment_prefix: str) -> list[Dialect]:
+    """What content detection tries, in order."""
+    return [Dialect(x, policy, comment_prefix=comment_prefix) for x in delims for policy in [default_policy(x)] + (["quoted_rfc"] if x in (",", ";") else [])]
+
+
 def detect_by_content(lines: list[str], delims: tuple[str, ...] = ("\t", ",", ";", "|"), *, min_lines: int = 10, comment_prefix: str = "#") -> Dialect | None:
-    """The separator that gives every record the same width with sound quoting; most columns win, then order."""
+    """The separator that gives every record the same width with sound quoting; most columns win, then order.
+
+    lines: the whole text, as a cut one may end inside a record. For files, delimited.detect_lines does the same.
+    """
     best, width = None, 1
-    for delim in delims:
-        candidates = [default_policy(delim)] + (["quoted_rfc"] if delim in (",", ";") else [])
-        for policy in candidates:
-            d = Dialect(delim, policy, comment_prefix=comment_prefix)
-            records = _records([x for x in lines if not x.startswith(comment_prefix)], d)
-            if records is None or len(records) < min_lines:
-                continue
-            parsed = [split_line(r, d) for r in records]
-            widths = {len(f) for f, _ in parsed}
-            if any(bad for _, bad in parsed) or len(widths) != 1:
-                continue
-            if (n := widths.pop()) > width:
-                best, width = d, n
+    for d in candidates(delims, comment_prefix):
+        records = _records([x for x in lines if not x.startswith(comment_prefix)], d)
+        if records is None or len(records) < min_lines:
+            continue
+        parsed = [split_line(r, d) for r in records]
+        widths = {len(f) for f, _ in parsed}
+        if any(bad for _, bad in parsed) or len(widths) != 1:
+            continue
+        if (n := widths.pop()) > width:
+            best, width = d, n
     return best
 
 

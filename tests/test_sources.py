@@ -9,7 +9,7 @@ from tabulon.api import Engine
 from tabulon.errors import IOHandlingError
 from tabulon.plans.table import from_rows
 from tabulon.quality import tools
-from tabulon.sources.delimited import read_delimited, set_header, sink_warnings, write_delimited
+from tabulon.sources.delimited import detect_file, read_delimited, set_header, sink_warnings, write_delimited
 from tabulon.sources.dialect import Dialect, detect_by_content, detect_by_frequency, detect_by_width, named_format, split_line
 from tabulon.sources.memory import read_json_lines, read_sqlite, write_json_lines
 
@@ -131,6 +131,30 @@ def test_detection():
         Dialect('"', "quoted")
 
 
+def test_detection_sees_the_whole_file(spark, tmp_path):
+    sound = [f"{i},b;{i}" for i in range(80)]
+    texts = [
+        sound, sound[:70] + ["1,2,3;4"] + sound[70:], sound[:70] + ['x,"y"z;4'] + sound[70:], ["#x;y,z", *sound, "#,,,"], sound[:5], [],
+        ["no table"] * 60, [f'{i},"p{i}' if i % 2 else f'q,";{i}"' for i in range(60)], ["a,b", *['"x,\ny",z'] * 60], ["a,b"] * 60 + ['c,"open'],
+    ]
+    for k, text in enumerate(texts):
+        found = detect_file(spark, put(tmp_path, "".join(x + "\n" for x in text), f"{k}.csv"))
+        assert found == detect_by_content([x for t in text for x in t.split("\n")]), k
+    last_ragged = put(tmp_path, "\n".join([f"{i},b,c" for i in range(60)] + ["1,2"] + [""]), "r.csv")
+    assert detect_file(spark, last_ragged) is None
+    multi = put(tmp_path, "a,b\n" + '"x\ny",z\n' * 60, "m.csv")  # the 50th line is inside a record
+    assert detect_file(spark, multi).policy == "quoted_rfc"
+
+
+def test_detect_dialect_query_sees_the_whole_table(spark, tmp_path, monkeypatch):
+    def write(t, path, d, **_):  # the last record has one comma less
+        spark.createDataFrame([(f"{i},x,y;b" if i < 60 else f"{i},x;b",) for i in range(61)], "line string").coalesce(1).write.text(path)
+
+    spark.range(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(catalog_io, "write_delimited", write)
+    assert [tuple(r) for r in catalog_io.detect_dialect(spark, str(tmp_path)).collect()] == [(";", "quoted")]
+
+
 def test_lint(spark, tmp_path):
     r = tools.lint_file(spark, put(tmp_path, 'a,b\n1,2\n3\n"x"y, z\n'), Dialect(","))
     assert not r.ok and r.widths == [(2, 1), (1, 3)] and r.first_bad_line == 4 and r.first_spaced_line == 4
