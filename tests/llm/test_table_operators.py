@@ -30,6 +30,29 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.where("page_id < 0")).count() == 0
 
 
+def test_urls_relative_targets_and_queries(spark):
+    link = "<link rel=canonical href='{}'>".format
+    rows = [
+        ("x://a.com/d/p", link("b.html")), ("x://a.com/d/b.html", link("http://bad.net/1")),  # beside the page
+        ("x://c.com/d/e/p", link("../q")), ("x://c.com/d/q", link("http://bad.net/2")),
+        ("x://d.com/v?id=1", link("http://bad.net/3")), ("x://d.com/v?id=2", link("http://fine.com/")), ("x://d.com/v", None), ("x://d.com/v?id=3", link("?id=1")),
+        ("x://e.com", link("./f/../g?a=1&amp;b=2#z")), ("x://e.com/g?a=1&b=2", link("http://bad.net/4")), ("x://f.com/1", link("mailto:x@bad.net")),
+        ("x://g.com/1", '<meta http-equiv="refresh" content="0; url=2?u=http://free.com/">'), ("x://g.com/2?u=http://free.com/", link("http://bad.net/5")), ("x://free.com/", link("http://fine.com/")),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df).collect()}
+    assert sorted(i for i in got if got[i] == "allow") == [5, 6, 10, 13]
+
+
+def test_relative_targets_resolve_as_in_the_standard(spark):
+    from urllib.parse import urljoin
+
+    base, targets = "http://a/b/c/d;p?q", ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", ";x", "g;x", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./g/.", "g/./h", "g/../h", "http://h/x?y"]
+    df = spark.createDataFrame([(t,) for t in targets], "t string").selectExpr("t", f"'{base}' as u")
+    got = {r.t: r.k for r in df.select("t", url_filter.key_of(url_filter.resolve(df["u"], df["t"])).alias("k")).collect()}
+    assert got == {t: urljoin(base, t).split("#")[0].split("://")[1] for t in targets}
+
+
 def test_warc(spark):
     html = ["a", "b", "a", None, "", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n", "é" * 50_000, "a"]
     df = spark.createDataFrame([(i, f"http://h/{i}\r\n" if i else None, h, 0) for i, h in enumerate(html)], "page_id long, url string, html string, payload int").repartition(3)
