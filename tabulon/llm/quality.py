@@ -165,44 +165,52 @@ def train(sequences: list[tuple[np.ndarray, int]], *, steps: int = 100, rate: fl
     """
     if len({y for _, y in sequences}) < 2:
         return Model()
-    width = max(len(x) for x, _ in sequences)
+    # lines stand by their place in the document and documents by falling length, so nothing is padded or cut: the
+    # lines at place t are edge[t]:edge[t + 1], and their predecessors are the first so many at place t - 1
+    sequences = sorted(sequences, key=lambda s: -len(s[0]))
     n, f = len(sequences), len(FEATURES)
-    x = np.zeros((n, width, f))
-    mask = np.zeros((n, width), bool)
-    for i, (rows, _) in enumerate(sequences):
-        x[i, : len(rows)], mask[i, : len(rows)] = rows, True
     y = np.array([label for _, label in sequences])
-    n_lines = mask.sum(1)
+    n_lines = np.array([len(x) for x, _ in sequences])
+    of = np.repeat(np.arange(n), n_lines)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+    order = np.lexsort((of, at))
+    kinds, kind = np.unique(np.concatenate([x for x, _ in sequences]), axis=0, return_inverse=True)
+    kind, of, at = kind.ravel()[order], of[order], at[order]
+    kinds = kinds.astype(float)
+    edge = np.concatenate(([0], np.cumsum(np.bincount(at)))) if len(at) else np.zeros(1, int)
+    width = len(edge) - 1
+    full = np.flatnonzero(n_lines)
+    last = edge[n_lines[full] - 1] + full
+    later = np.arange(edge[min(1, width)], len(of))
+    earlier = edge[at[later] - 1] + of[later]
     weight = 1.0 / np.maximum(n_lines, 1)
     share = np.bincount(y, minlength=2) / n
     weight = weight * (0.5 / share[y])
+    per_line, log_z = weight[of], np.zeros(n)
     emission, transition = np.zeros((2, f)), np.zeros((2, 2))
     memory = [np.zeros((2, f)) + 1e-6, np.zeros((2, 2)) + 1e-6]
-    pairs = np.maximum(n_lines - 1, 0)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y, y), np.maximum(n_lines - 1, 0) * weight)
     for _ in range(steps):
-        e = x @ emission.T
-        alpha, beta = np.zeros((n, width, 2)), np.zeros((n, width, 2))
-        alpha[:, 0] = e[:, 0]
+        e = (kinds @ emission.T)[kind]
+        alpha, beta = e.copy(), np.zeros_like(e)
         for t in range(1, width):
-            step = np.logaddexp(alpha[:, t - 1, :1] + transition[:1], alpha[:, t - 1, 1:] + transition[1:]) + e[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], step, alpha[:, t - 1])
+            i, j = edge[t], edge[t + 1]
+            before = alpha[edge[t - 1] : edge[t - 1] + j - i]
+            alpha[i:j] += np.logaddexp(before[:, :1] + transition[:1], before[:, 1:] + transition[1:])
         for t in range(width - 2, -1, -1):
-            inner = beta[:, t + 1] + e[:, t + 1]
-            step = np.logaddexp(inner[:, :1] + transition.T[:1], inner[:, 1:] + transition.T[1:])
-            beta[:, t] = np.where(mask[:, t + 1, None], step, 0.0)
-        log_z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p = np.exp(alpha + beta - log_z[:, None, None]) * mask[..., None]
-        target = np.zeros((n, width, 2))
-        target[np.arange(n), :, y] = 1
-        diff = (target * mask[..., None] - p) * weight[:, None, None]
-        g_e = np.einsum("ntl,ntf->lf", diff, x) / n - penalty * emission
+            i, j = edge[t + 1], edge[t + 2]
+            inner = beta[i:j] + e[i:j]
+            beta[edge[t] : edge[t] + j - i] = np.logaddexp(inner[:, :1] + transition.T[:1], inner[:, 1:] + transition.T[1:])
+        log_z[full] = np.logaddexp(alpha[last, 0], alpha[last, 1])
+        diff = -np.exp(alpha + beta - log_z[of, None])
+        diff[np.arange(len(of)), y[of]] += 1
+        diff *= per_line[:, None]
+        g_e = np.stack([np.bincount(kind, diff[:, k], len(kinds)) for k in (0, 1)]) @ kinds / n - penalty * emission
         g_t = -tie * transition
-        if width > 1:
-            joint = alpha[:, :-1, :, None] + transition + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - log_z[:, None, None, None]
-            expected = (np.exp(joint) * (mask[:, 1:, None, None] * weight[:, None, None, None])).sum((0, 1))
-            seen = np.zeros((2, 2))
-            np.add.at(seen, (y, y), pairs * weight)
-            g_t = g_t + (seen - expected) / n
+        if len(later):
+            joint = alpha[earlier, :, None] + transition + (e + beta)[later, None, :] - log_z[of[later], None, None]
+            g_t = g_t + (seen - (np.exp(joint) * per_line[later, None, None]).sum(0)) / n
         for w, g, m in ((emission, g_e, memory[0]), (transition, g_t, memory[1])):
             m += g * g
             w += rate * g / np.sqrt(m)
@@ -210,8 +218,11 @@ def train(sequences: list[tuple[np.ndarray, int]], *, steps: int = 100, rate: fl
     return Model(emission.tolist(), transition.tolist())
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, max_rows: int = 1000, max_lines: int = 40) -> Model:
-    """Train on at most ``max_rows`` labelled documents (the smallest id hashes) and ``max_lines`` lines of each."""
+def fit(documents: DataFrame, labels: DataFrame, *, max_rows: int = 1000) -> Model:
+    """Train on at most ``max_rows`` labelled documents (the smallest id hashes), all lines of each.
+
+    Features are yes or no, so a line comes to the driver as two bytes.
+    """
     bounded_batches(documents.sparkSession)
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -221,12 +232,14 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_rows: int = 1000, max_li
         for piece, texts in slices(batches):
             m = measure(texts)
             ids, good = piece.column(0).to_pylist(), piece.column(2).to_pylist()
-            rows = [m.line_features[m.line_first[i] : min(m.line_first[i + 1], m.line_first[i] + max_lines)].astype(np.float32).tobytes() for i in range(len(ids))]
+            bits = np.packbits(m.line_features.astype(bool), axis=1)
+            rows = [bits[m.line_first[i] : m.line_first[i + 1]].tobytes() for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(good, pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "quality", "lines"])
 
     rows = sample.mapInArrow(lines, "doc_id long, quality int, lines binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["lines"])))
-    return train([(np.frombuffer(bytes(r["lines"]), np.float32).reshape(-1, len(FEATURES)), r["quality"]) for r in rows])
+    size = -(-len(FEATURES) // 8)
+    return train([(np.unpackbits(np.frombuffer(bytes(r["lines"]), np.uint8).reshape(-1, size), axis=1, count=len(FEATURES)), r["quality"]) for r in rows])
 
 
 _OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"

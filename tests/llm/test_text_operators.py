@@ -98,6 +98,15 @@ def test_crf_learns_lines():
     assert quality.viterbi(e, np.array(model.transition), np.array([0, 5])).tolist() == [1, 1, 0, 0, 0]
 
 
+def test_crf_sees_the_ends_of_long_documents(spark):
+    head = ["the same words stand here in line %d of all documents." % i for i in range(60)]
+    rows = [(i, "\n".join(head + (["#*# $%& <> ||"] * 20 if i % 2 else ["and some more words of the usual kind stand here."]))) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    lean = np.array(model.emission)[1] - np.array(model.emission)[0]
+    assert lean[quality.FEATURES.index("symbols_15pc")] < -0.5 and abs(lean[quality.FEATURES.index("last")]) > 0.01
+
+
 def test_keep_good_keeps_columns(docs):
     kept = quality.keep_good(docs, quality.Model())
     assert kept.schema == docs.schema and 0 < kept.count() < len(TEXTS)
