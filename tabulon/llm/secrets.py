@@ -1,9 +1,10 @@
 """Secret scans in DataFrame functions only: base patterns, and windowed entropy over candidate strings.
 
-A candidate is a whole run of 20 or more base64 characters with a digit in it; its class is hex or base64 by the
-characters it has. A window slides over it, and the sum of c * log2(c) over the window's character counts is kept
+A candidate is a whole run of 20 or more base64 characters; its class is hex, base64 or, without a digit, letters by
+the characters it has. A window slides over it, and the sum of c * log2(c) over the window's character counts is kept
 up to date from the counts of the character that enters and the one that leaves. A candidate whose best window
-reaches its class's entropy is a span, unless an allow-list pattern matches it.
+reaches its class's entropy is a span. The parts of a run (between / _ - =) in which an allow-list pattern matches are
+left out of the windows; what stands beside them is still looked at.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: Known harmless strings: digests of nothing, counting runs, placeholders.
 ALLOW = (
     r"(?i)example|sample|dummy|placeholder|changeme|test",
@@ -27,7 +28,7 @@ ALLOW = (
     r"(?i)^da39a3ee5e6b4b0d3255bfef95601890afd80709$",
     r"(?i)^e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855$",
 )
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_letters")
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,7 @@ class Rules:
     window: int = 20
     hex_bits: float = 3.0
     base64_bits: float = 3.8
+    letters_bits: float = 3.8
     allow: tuple[str, ...] = ALLOW
 
 
@@ -93,12 +95,15 @@ def find(documents: DataFrame, rules: Rules = Rules(), *, keep: tuple[str, ...]
         F.expr(f"if(f_hex, {_spans('t', HEX)}, {none})").alias("hex"),
         F.expr(f"if(f_high, {_spans('t', CANDIDATE)}, {none})").alias("high"),
     )
-    allowed = " or ".join(f"rlike(x.v, {_sql(p)})" for p in rules.allow) or "false"
-    hex_class = "rlike(x.v, '^([0-9a-f]+|[0-9A-F]+)$')"
-    high = f"""filter(high, x -> not ({allowed}) and {window_entropy('x.v', rules.window)} >= if({hex_class}, {rules.hex_bits}D, {rules.base64_bits}D))"""
+    rest = "x.v"  # without the parts that the allow-list knows
+    for p in rules.allow:
+        rest = f"regexp_replace({rest}, {_sql(f'(?<![A-Za-z0-9+])[A-Za-z0-9+]*(?:{p})[A-Za-z0-9+]*')}, ' ')"
+    hex_class, digit = "rlike(x.v, '^([0-9a-f]+|[0-9A-F]+)$')", "rlike(x.v, '[0-9]')"
+    best = f"array_max(transform(split({rest}, ' '), z -> {window_entropy('z', rules.window)}))"
+    high = f"""filter(high, x -> {best} >= if(not {digit}, {rules.letters_bits}D, if({hex_class}, {rules.hex_bits}D, {rules.base64_bits}D)))"""
     parts = [f"transform({k}, x -> named_struct('start', x.s, 'kind', {i}, 'end', x.e))" for i, k in enumerate(KINDS[:3])]
     scored = raw.withColumn("high", F.expr(f"if(size(high) > 0, {high}, high)"))
-    parts.append(f"transform(high, x -> named_struct('start', x.s, 'kind', if({hex_class}, 3, 4), 'end', x.e))")
+    parts.append(f"transform(high, x -> named_struct('start', x.s, 'kind', if(not {digit}, 5, if({hex_class}, 3, 4)), 'end', x.e))")
     return scored.select("doc_id", *keep, F.col("t").alias("text"), F.expr(f"array_sort(concat({', '.join(parts)}))").alias("found"))
 
 

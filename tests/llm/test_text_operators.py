@@ -250,6 +250,18 @@ def test_secrets(spark):
     assert "entropy_base64" in got[4][1] and "entropy" not in got[5][1] and "entropy" not in got[6][1]
 
 
+LETTERS = "qGZtuLmXavBKnIcDRwYpWHsJ"
+
+
+def test_secrets_of_letters_and_beside_harmless_words(spark):
+    texts = [f"a {LETTERS} b", f"/latest/{KEY}", f"test_key={KEY}", f"{KEY}-{LETTERS}/sample", "key example/sample-placeholder_test", f"{KEY}test {LETTERS}example", "internationalisation-of-programs"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    whole = len(f"{KEY}-{LETTERS}/sample")
+    assert [got[i] for i in range(len(texts))] == ["entropy_letters:2:26", "entropy_base64:0:32", "entropy_base64:0:33", f"entropy_base64:0:{whole}", "", "", ""]
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {i: t for i, t in enumerate(["a [SECRET] b", "[SECRET]", "[SECRET]", "[SECRET]", *texts[4:]])}
+
+
 def test_redaction(spark):
     rows = [(1, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', 50, "s"), (2, None, 0, "t"), (3, "clean", 5, None), (4, "deadbeefdeadbeef", 16, "u")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, row string")
