@@ -26,12 +26,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It links word shingles of five words at a similarity of 0.8. Documents without words and rows with a null id
     have no duplicates, so they stay.
     """
-    found = materialize(neardup.near_duplicates(docs, neardup.Params(words=5)), "near-dedup")
-    kept = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    params = neardup.Params(words=5)
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _near_dedup_of_rows(spark, docs, params)
+    found = materialize(neardup.near_duplicates(docs, params), "near-dedup")
+    return docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _near_dedup_of_rows(spark: SparkSession, docs: DataFrame, params: neardup.Params) -> DataFrame:
+    """near_dedup where ids repeat: rows are linked, not ids, so that a text isn't dropped for another one of its id.
+
+    A group is kept by the smallest id that has no row in other groups, if there is one, and else by the smallest.
+    Of the rows that an id then keeps in several groups, the one with the smallest text digest stays.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    texts = rows.where("doc_id is not null").select(F.col("__row").alias("doc_id"), "text")
+    found = materialize(neardup.near_duplicates(texts, params), "near-dedup").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
+    named = materialize(rows.where("doc_id is not null").select("__row", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).join(found, "__row"), "groups")
+    several = named.groupBy("doc_id").agg((F.min("group") != F.max("group")).alias("several"))
+    first = named.join(several, "doc_id").groupBy("group").agg(F.min(F.struct("several", "doc_id", "digest", "__row")).alias("x")).select("x.*")
+    stay = first.groupBy("doc_id").agg(F.min(F.struct("digest", "__row")).alias("x")).select("x.__row")
+    kept = rows.where("doc_id is not null").join(stay, "__row", "left_semi")
+    return kept.unionByName(rows.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

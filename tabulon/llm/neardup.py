@@ -128,8 +128,9 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     Documents without words are linked with nothing. A document with fewer words than a shingle has one shingle.
-    Rows that share a doc_id are one node of the graph, so they share their component; rows with a null id stay
-    alone. Extra columns are ignored; an empty table gives an empty result. Ties: the smallest id is kept.
+    Rows that share a doc_id are one node of the graph, but a row whose text is an exact copy of a smaller id's goes
+    by that one's node, so where ids repeat with different texts, rows need ids of their own. Rows with a null id
+    stay alone. Extra columns are ignored; an empty table gives an empty result. Ties: the smallest id is kept.
     """
     bounded_batches(documents.sparkSession)
     sigs = materialize(_signature_table(documents, p), "signatures")

@@ -132,3 +132,14 @@ def test_pipeline(spark):
         if name != "bpe_encoding":
             assert docs.columns == columns
     assert counts[0] > counts[1] > counts[2] == counts[3] > counts[4] == counts[5] > 0
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey", "north south east west up down")
+    rows = [(3, a), (7, a), (7, b), (7, b), (8, c), (8, d), (9, d), (10, ""), (10, ""), (11, None), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int").repartition(4)
+    got = corpus_pipeline.near_dedup(spark, df, SF)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, a), (7, b), (8, c), (9, d), (10, ""), (11, None), (None, a), (None, a)], key=str)
