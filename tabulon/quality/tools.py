@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..errors import IOHandlingError
 from ..functions.scalar import strip
@@ -45,31 +45,38 @@ def lint_file(spark: SparkSession, path: str, d: Dialect) -> Lint:
     return lint_lines(lines, d, presorted=len(lines.inputFiles()) == 1)
 
 
-@F.pandas_udf(IntegerType())
-def display_width(texts: pd.Series) -> pd.Series:
-    """Columns that a text takes in a terminal: wide East Asian characters two, combining and control ones none."""
+def _width(t: str) -> int:
     import unicodedata
 
-    def width(t):
-        if t is None:
-            return None
-        if t.isascii() and t.isprintable():
-            return len(t)
-        total = 0
-        for ch in t:
-            kind = unicodedata.category(ch)
-            if kind in ("Mn", "Me", "Cf", "Cc") or "ᅠ" <= ch <= "ᇿ":
-                continue
-            total += 2 if unicodedata.east_asian_width(ch) in "WF" else 1
-        return total
+    if t.isascii() and t.isprintable():
+        return len(t)
+    total = 0
+    for ch in t:
+        kind = unicodedata.category(ch)
+        if kind in ("Mn", "Me", "Cf", "Cc") or "\u1160" <= ch <= "\u11ff":
+            continue
+        total += 2 if unicodedata.east_asian_width(ch) in "WF" else 1
+    return total
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def display_width(texts: pd.Series) -> pd.Series:
+    """Columns that each line takes in a terminal: wide East Asian characters two, combining and control ones none."""
+    return texts.map(lambda t: None if t is None else [_width(x) for x in t.split("\n")])
+
 
-    return texts.map(width)
+def visual(lines: Column, wide: bool) -> Column:
+    """Display width of each line; only texts that aren't plain ASCII go to Python, and only if asked for."""
+    plain = F.transform(lines, F.length)
+    if not wide:
+        return plain
+    text = F.array_join(lines, "\n")
+    ascii_only = text.rlike(r"^[\x20-\x7e\n]*\z")
+    return F.when(ascii_only, plain).otherwise(F.coalesce(display_width(F.when(~ascii_only, text)), plain))
 
 
-def visual(c: Column, wide: bool) -> Column:
-    """Display width; only texts that aren't plain ASCII go to Python, and only if asked for."""
-    plain = F.length(c)
-    return F.when(c.rlike(r"^[\x20-\x7e]*\z"), plain).otherwise(F.coalesce(display_width(F.when(~c.rlike(r"^[\x20-\x7e]*\z"), c)), plain)) if wide else plain
+def field_lines(x: Column) -> Column:
+    return F.transform(F.split(x, "\n"), lambda v: strip(v))
 
 
 def column_stats(t: Table, *, header_in_data: bool = False, wide: bool = False) -> DataFrame:
@@ -81,11 +88,10 @@ def column_stats(t: Table, *, header_in_data: bool = False, wide: bool = False)
     parts = []
     for i, c in enumerate(t.columns):
         x = F.coalesce(F.col(c).cast("string"), F.lit(""))
-        lines = F.transform(F.split(x, "\n"), lambda v: strip(v))
         is_head = F.col(t.nr) == 1 if header_in_data and t.nr else F.lit(False)
         whole = F.trim(x)
-        num = whole.rlike(NUMBER_PATTERN)
-        width = F.array_max(F.transform(lines, F.length)) if not wide else visual(whole, True)
+        num = whole.rlike(NUMBER_PATTERN) & ~x.contains("\n")
+        width = F.array_max(visual(field_lines(x), wide))
         parts.append(F.struct(
             F.lit(i + 1).alias("index"), F.lit(t.header[i] if t.header else f"c{i + 1}").alias("name"), F.max(width).alias("max_width"),
             (F.bool_and(num | (whole == "") | is_head) & F.bool_or(num)).alias("is_numeric"),
@@ -103,27 +109,31 @@ def column_stats(t: Table, *, header_in_data: bool = False, wide: bool = False)
 def align(t: Table, d: Dialect, *, wide: bool = False) -> DataFrame:
     """(line) records padded to their columns: text left, numbers on the dot, one blank after the delimiter.
 
+    A field of several lines goes on in lines of its own, which begin at its column; the record is one row all the same.
     The statistics are one row a column, so they go into the plan as constants. A header counts as a record.
     """
     stats = {r["index"]: r for r in column_stats(t, wide=wide).collect()}
-    head = {i: len(h) for i, h in enumerate(t.header or [], 1)}
+    heads = {i: [v.strip() for v in h.split("\n")] for i, h in enumerate(t.header or [], 1)}
     cells, titles = [], []
-    last = len(t.columns)
+    last, offset = len(t.columns), 0
     for i, c in enumerate(t.columns, 1):
         s = stats[i]
-        number = s["is_numeric"]
+        number = s["is_numeric"] and len(heads.get(i, [])) < 2
         frac = s["max_frac"]
-        total = max(s["max_width"], head.get(i, 0), s["max_int"] + frac if number else 0)
+        total = max(s["max_width"], *map(len, heads.get(i, [""])), s["max_int"] + frac if number else 0)
         whole = max(s["max_int"], total - frac)
-        x = strip(F.coalesce(F.col(c).cast("string"), F.lit("")))
+        lines = field_lines(F.coalesce(F.col(c).cast("string"), F.lit("")))
+        x = F.array_join(lines, "\n" + " " * offset)
         dot = F.when(F.locate(".", x) > 0, F.locate(".", x) - 1).otherwise(F.length(x))
-        text = F.concat(x, F.repeat(F.lit(" "), F.greatest(F.lit(total) - visual(x, wide), F.lit(0)))) if i < last else x
+        text = F.concat(x, F.repeat(F.lit(" "), F.greatest(F.lit(total) - F.element_at(visual(lines, wide), -1), F.lit(0)))) if i < last else x
         if number:
             after = F.repeat(F.lit(" "), F.greatest(F.lit(frac) - (F.length(x) - dot), F.lit(0))) if i < last else F.lit("")
             text = F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(whole) - dot, F.lit(0))), x, after)
         cells.append(text)
         if t.header:
-            titles.append(t.header[i - 1].ljust(total) if i < last else t.header[i - 1])
+            title = ("\n" + " " * offset).join(heads[i])
+            titles.append(title + " " * (total - len(heads[i][-1])) if i < last else title)
+        offset += total + len(d.delim) + 1
     sep = d.delim + " "
     body = t.df.select(F.concat_ws(sep, *cells).alias("line"), *[F.col(c) for c, _ in t.order])
     if t.header:

@@ -178,6 +178,16 @@ def test_align_shrink_markdown(spark):
         tools.tsv(from_rows(spark, [["a\tb"]])).collect()
 
 
+def test_align_of_fields_with_line_feeds(spark):
+    t = from_rows(spark, [["a", "x\n longer \n", "1"], ["bb\nc", "y", "20"], ["d", "", "3\n"]], ["n", "two\nlines", "v"])
+    lines = [r["line"] for r in tools.align(t, Dialect(";;", "simple")).collect()]
+    assert lines[0] == "n ;; two\n" + " " * 5 + "lines ;; v"
+    assert lines[1] == "a ;; x\n" + " " * 5 + "longer\n" + " " * 5 + " " * 6 + ";; 1"
+    assert lines[2] == "bb\nc ;; y     ;; 20" and lines[3] == "d ;;       ;; 3\n" + " " * 14
+    wide = [r["line"] for r in tools.align(from_rows(spark, [["日本\na", "x"], ["bcde", "y"]]), Dialect(","), wide=True).collect()]
+    assert wide == ["日本\na   , x", "bcde, y"]
+
+
 def test_head_and_tail(spark, tmp_path):
     path = put(tmp_path, "\n".join(str(i) for i in range(1000)))
     assert tools.head_of_file(spark, path, 10) == "0\n1\n2\n3\n4"
