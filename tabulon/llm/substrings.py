@@ -3,9 +3,10 @@
 Positions of a document are sampled by a difference cover D modulo v: for any two positions there is a shift below v
 that brings both into the sample. So two equal strings of ``length`` bytes hold equal sampled tuples of
 length - v + 1 bytes at one place. The tuples are named (64-bit fingerprints), the names sorted in buckets, and names
-that occur once go: no long match can hold them. Around the names that are left, all suffixes, sampled or not, are
-named by their first ``length`` bytes, one recursion being enough for a bounded depth; these names are merged in
-one sorted order, where equal neighbours are equal prefixes, and all but the earliest are repeats.
+that occur once go: no long match can hold them. Around the names that are left, every window of ``length`` bytes,
+sampled or not, is fingerprinted from its bytes. This stands in for the recursion on names and the merge of the other
+suffixes by rank: equal windows are all that is asked for, not the order of suffixes. Equal fingerprints are
+neighbours in sorted buckets, and all but the earliest are repeats.
 
 Texts travel in compressed slices. A slice sends each name once a bucket, in sorted order and delta-coded, and gets
 one bit a name back, so a name that is frequent anywhere costs its bucket one entry a slice, not one an occurrence.
