@@ -1,8 +1,8 @@
 """Vectorised text primitives over a batch of documents, for use inside Arrow map functions.
 
 A batch is one byte buffer holding the documents in order, each followed by a line feed. Words, lines and windows
-are index ranges into it, and substrings are hashed in O(1) from prefix sums, so that the work per byte is a few
-numpy passes, whatever the length of a document.
+are index ranges into it, and substrings are fingerprinted in O(1) from prefix sums, so that the work per byte is a
+few numpy passes, whatever the length of a document.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-_TABLE = _RNG.integers(0, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS: dict[str, np.ndarray] = {}
+#: Substrings are fingerprinted as polynomials over the integers modulo a Mersenne prime, at one random base: two
+#: strings of at most n bytes agree at no more than n of the 2^61 - 1 bases, whatever they look like.
+_PRIME = U64((1 << 61) - 1)
+_LOW31, _LOW30 = U64((1 << 31) - 1), U64((1 << 30) - 1)
+_BASE = 1_486_902_314_071_852_737
+_INVERSE = pow(_BASE, -1, (1 << 61) - 1)
+_POWERS: dict[int, np.ndarray] = {}
+_BLOCK = 1 << 15  # bytes at a time: they stay in the cache, and their products sum up without overflow
 #: Odd factors of the places in a window of words.
 FACTOR = np.array([pow(0xC2B2AE3D27D4EB4F, k, 2**64) for k in range(17)], U64)
 
@@ -27,15 +30,28 @@ _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def _powers(kind: str, base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(kind)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & _PRIME) + (x >> U64(61))
+    return x - _PRIME * (x >= _PRIME)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, by halves of 31 and 30 bits, as 2^61 is one."""
+    a0, a1, b0, b1 = a & _LOW31, a >> U64(31), b & _LOW31, b >> U64(31)
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << U64(1)) + (middle >> U64(30)) + ((middle & _LOW30) << U64(31)) + a0 * b0)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of the base, or more."""
+    have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, U64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 21:
-            _POWERS[kind] = have
+        have = np.ones(1, U64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate((have, _times(have, np.full(1, pow(base, len(have), (1 << 61) - 1), U64))))
+        if len(have) <= 1 << 21:
+            _POWERS[base] = have
     return have
 
 
@@ -64,14 +80,23 @@ class Batch:
 
     # -- hashing ---------------------------------------------------------------------------------------------
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of buf[start:end], equal for equal bytes."""
+        """64-bit scrambled fingerprints of buf[start:end], equal for equal bytes."""
         if self._prefix is None:
             n = len(self.buf)
             prefix = np.zeros(n + 1, U64)
-            np.cumsum(_TABLE[self.buf] * _powers("up", _BASE, n)[:n], out=prefix[1:])
+            power, done = _powers(_BASE, n), U64(0)
+            for at in range(0, n, _BLOCK):
+                byte, p = self.buf[at : at + _BLOCK].astype(U64) + U64(1), power[at : min(at + _BLOCK, n)]
+                low, high = np.cumsum(byte * (p & _LOW31)), _reduced(np.cumsum(byte * (p >> U64(31))))
+                part = _reduced(_reduced(low) + (high >> U64(30)) + ((high & _LOW30) << U64(31)) + done)
+                prefix[at + 1 : at + 1 + len(part)] = part
+                done = part[-1]
             self._prefix = prefix
-        inverse = _powers("down", _INVERSE, len(self.buf) + 1)
-        return mix((self._prefix[end] - self._prefix[start]) * inverse[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        inverse, out = _powers(_INVERSE, len(self.buf) + 1), np.empty(len(start), U64)
+        for at in range(0, len(start), _BLOCK):
+            a, b = start[at : at + _BLOCK], end[at : at + _BLOCK]
+            out[at : at + _BLOCK] = mix(_times(_reduced(self._prefix[b] + _PRIME - self._prefix[a]), inverse[a]))
+        return out
 
     # -- words and lines -------------------------------------------------------------------------------------
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
