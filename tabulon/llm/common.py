@@ -57,6 +57,25 @@ def unit_hash(*cols) -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+FILTER_BITS = 1 << 25  # of the filter that may_hold broadcasts: 4 MB, whatever the number of ids
+
+
+def may_hold(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df with ``may``, which is true where the key is among ids (a column of the same name), and seldom elsewhere.
+
+    The ids are marked in bitmaps of a fixed total size, which are broadcast; with many more ids than bits, may is just
+    true everywhere. So rows that an exact join would drop needn't be shuffled for it. A null key may not be held.
+    """
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)) + 1
+    marks = ids.where(F.col(key).isNotNull()).select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    found = df.withColumn("__p", place).withColumn("__own", F.bitmap_bucket_number("__p")).join(F.broadcast(marks), F.col("__own") == F.col("__bucket"), "left")
+    at = F.bitmap_bit_position("__p")
+    byte = F.conv(F.hex(F.col("__bits").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(__byte, __bit) & 1 = 1")
+    found = found.withColumn("__byte", byte).withColumn("__bit", (at % 8).cast("int"))
+    return found.withColumn("may", F.col(key).isNotNull() & F.coalesce(hit, F.lit(False))).drop("__p", "__own", "__bucket", "__bits", "__byte", "__bit")
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, so that extra columns can't clash with those that an operator makes."""
     return df.select(*[F.col(n) for n in names])

@@ -133,13 +133,64 @@ def brute_components(texts, size=4, percent=80):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("pivots,rounds,block", [(16, 3, 2000), (2, 1, 2000), (1, 1, 5)])
-def test_near_duplicates(docs, monkeypatch, pivots, rounds, block):
-    monkeypatch.setattr(neardup, "BLOCK_NODES", block)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, neardup.Params(pivots=pivots, rounds=rounds, short=pivots)).collect()}
+@pytest.mark.parametrize("nodes,size", [(2000, 4_000_000), (5, 4_000_000), (2000, 3000)])
+def test_near_duplicates(docs, nodes, size):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, neardup.Params(block_nodes=nodes, block_bytes=size)).collect()}
     assert got == brute_components(TEXTS)
 
 
+def family(n, words, edits, seed):
+    """Copies of one text with a growing number of changed words, so that many pairs are just above or below 80 %."""
+    rng = random.Random(seed)
+    base = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        out.append(" ".join(w[: len(w) - rng.randint(0, words // 10)]))
+    return out
+
+
+@pytest.mark.parametrize("nodes", [2000, 20])
+def test_near_duplicates_of_a_family_around_the_threshold(spark, nodes):
+    texts = family(150, 80, 6, 1) + family(60, 40, 4, 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, neardup.Params(block_nodes=nodes, matches=24)).collect()}
+    want = brute_components(texts)
+    assert got == want and 10 < len({c for _, c in want.values()}) < 150
+
+
+def test_block_links_equal_brute_force():
+    texts = [t.encode() for t in family(60, 40, 5, 3)]
+    inside = np.arange(60) % 3 == 0
+    p = neardup.Params()
+    sets = [neardup.shingle_set(t, 4) for t in texts]
+    alike = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    for left, right in ((np.arange(60) < 60, np.arange(60) >= 0), (np.arange(60) < 25, np.arange(60) >= 25)):
+        got = {(min(e), max(e)) for e in neardup.block_links(texts, inside, left, right, p)}
+        want = {(x, y) for y in range(60) for x in range(y) if not (inside[x] and inside[y]) and ((left[x] and right[y]) or (right[x] and left[y])) and alike(sets[x], sets[y])}
+        assert got == want and want
+
+
+def thue_morse(size):
+    w = b"a"
+    while len(w) < size:
+        w += w.translate(bytes.maketrans(b"ab", b"ba"))
+    return w.decode()
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_that_cancel_out_modulo_powers_of_two_stay_apart(spark, size):
+    one = thue_morse(size)
+    other = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, other), (3, f"{one}\n{other}\n" + "w " * 30)], "doc_id long, text string")
+    assert [r.component_id for r in neardup.near_duplicates(df).orderBy("doc_id").collect()] == [1, 2, 3]
+    assert quality.score(df, quality.Model()).where("doc_id = 3").first().n_dup_lines == 0
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(df).collect()}
+    assert got == {i + 1: v for i, v in brute_repeats([one, other, f"{one}\n{other}\n" + "w " * 30]).items()}
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (7, "A B c d e"), (9, "")]
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
