@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import bpe, mixing, neardup, quality, secrets
-from tabulon.llm.common import materialize
+from tabulon.llm.common import materialize, may_hold
 from tabulon.llm.queries import vocabulary
 
 
@@ -30,7 +30,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return _near_dedup_of_rows(spark, docs, params)
     found = materialize(neardup.near_duplicates(docs, params), "near-dedup")
-    return docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    marked = may_hold(docs.select(F.struct(*own).alias("row"), "doc_id"), "doc_id", gone)
+    asked = marked.where("may").join(gone.hint("merge"), "doc_id", "left_anti")
+    return marked.where("not may").select("row.*").unionByName(asked.select("row.*"))
 
 
 def _near_dedup_of_rows(spark: SparkSession, docs: DataFrame, params: neardup.Params) -> DataFrame:
