@@ -1,6 +1,6 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over 32 bytes cuts texts where the content says so; equal passages give equal chunks. Chunks that
+A rolling (gear) hash over 32 bytes cuts texts where the content says so; equal passages give equal chunks. Chunks that
 occur more than once in the corpus are encoded once, by their first holder, and handed to the others by digest; the
 rest are encoded where they stand. A chunk's ids cover what lies between its first and its last white space: there
 pre-tokenisation always splits, so those ids are exact in any context. What is left at a join of two chunks is
@@ -11,7 +11,9 @@ then the ids agree exactly with those of the whole text.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +23,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
-from .textbatch import U64, Batch, slices, trim
+from .textbatch import Batch, slices, trim
 
 WINDOW, CUT_BITS = 32, 11  # a cut every 2048 bytes on average
-CACHE_WORDS = 150_000
+CACHE = 300_000  # pre-tokens in either half of a worker's cache
 _SPACES = b" \t\n\r\x0b\x0c"
+_GEAR = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**32, 256, dtype=np.uint32)
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Texts of these characters need no Unicode normalisation but lower-casing, and _PIECE cuts them as the vocabulary's
+#: own pattern does (fixed value: its contractions). Others are left to the library word by word.
+_PLAIN = re.compile("[\x00-\x7f¡¿«»À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t\n\v\f\r{_LETTERS}0-9]+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Coder:
-    """Encodes strings of words with a cache of words, exactly as the tokenizers library encodes the whole string."""
+    """Encodes strings that begin and end at white space exactly as the tokenizers library does.
+
+    Pre-tokens are encoded by the library's own model, many in one call, and remembered; every pre-token ends with a
+    token that carries the vocabulary's end-of-word suffix, which tells them apart.
+    """
 
     _held: dict[str, Coder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
@@ -43,9 +56,18 @@ class Coder:
         size = self.tokenizer.get_vocab_size()
         if size > 1 << 16:
             raise ValueError("ids are kept in two bytes")
-        self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.tokens = [t.encode() for t in names]
         self.digits = [str(i).encode() for i in range(size)]
-        self.cache: dict[bytes, bytes] = {}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.array([bool(suffix) and t.endswith(suffix) for t in names])
+        steps = json.loads(self.tokenizer.pre_tokenizer.__getstate__()).get("pretokenizers", [{}])
+        self.known = bool(suffix) and steps[0].get("pattern") == {"Regex": _PATTERN}
+        self.marks = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Coder:
@@ -53,32 +75,40 @@ class Coder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode new words in one call, told apart by the offsets of their tokens."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        todo = [w.decode() for w in words]
-        found = self.tokenizer.encode(" ".join(todo), add_special_tokens=False)
-        ids = np.array(found.ids, np.uint16)
-        at = np.array([o[0] for o in found.offsets], np.int64)
-        starts = np.cumsum([0] + [len(w) + 1 for w in todo])
-        cuts = np.searchsorted(at, starts).tolist()
-        for i, w in enumerate(todo):
-            self.cache[w.encode()] = ids[cuts[i] : cuts[i + 1]].tobytes()
+    def _learn(self, pieces: set[str]) -> None:
+        """Have the ids of all the pieces in the newer half of the cache; what neither half has is encoded."""
+        if len(self.cache) + len(pieces - self.cache.keys()) > CACHE:
+            self.older, self.cache = self.cache, {}
+        new = []
+        for w in pieces - self.cache.keys():
+            have = self.older.get(w)
+            if have is None:
+                new.append(w)
+            else:
+                self.cache[w] = have
+        ids = np.array(self.model.encode(" ".join(new), add_special_tokens=False).ids, np.uint16)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new):
+            raise ValueError("the vocabulary doesn't mark the ends of words")
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(new, (2 * ends).tolist()):
+            self.cache[w] = raw[at:end]
+            at = end
 
     def encode_all(self, parts: list[bytes]) -> list[bytes]:
         """Ids (two bytes each) of strings that begin and end at white space or at an end of their text."""
-        split = [p.split() for p in parts]
-        out = []
-        for at in range(0, len(split), 256):
-            group = split[at : at + 256]
-            new = set().union(*group) - self.cache.keys()
-            if new:
-                self.learn(new)
-                if any(w not in self.cache for g in group for w in g):  # the cache was emptied on the way
-                    self.learn(set().union(*group))
+        out: list[bytes] = []
+        for at in range(0, len(parts), 256):
+            texts = [p.decode() for p in parts[at : at + 256]]
+            lower = [t.lower() for t in texts]
+            plain = [self.known and bool(_PLAIN.fullmatch(t)) and not any(m in low for m in self.marks) for t, low in zip(texts, lower)]
+            cut = [_PIECE.findall(low) if ok else () for low, ok in zip(lower, plain)]
+            pieces = set().union(*cut)
+            if not pieces <= self.cache.keys():
+                self._learn(pieces)
             get = self.cache.__getitem__
-            out += [b"".join(map(get, g)) for g in group]
+            for t, ok, own in zip(texts, plain, cut):
+                out.append(b"".join(map(get, own)) if ok else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint16).tobytes())
         return out
 
     def digest(self, ids: bytes) -> tuple[int, str, str]:
@@ -95,15 +125,23 @@ class Coder:
         return b" ".join(map(self.tokens.__getitem__, numbers))
 
 
+def rolling(buf: np.ndarray) -> np.ndarray:
+    """The gear hash of the 32 bytes up to each byte, h = 2 * h + gear[byte] modulo 2^32, by doubling the window."""
+    h = _GEAR[buf]
+    for width in (1, 2, 4, 8, 16):
+        wider = h.copy()
+        wider[width:] += h[:-width] << np.uint32(width)
+        h = wider
+    return h
+
+
 def chunks(texts: list[bytes]) -> list[list[bytes]]:
     """Content-defined chunks of each text; they join to the text. An empty text has none."""
     batch = Batch(texts)
-    n = len(batch.buf)
     cuts = np.zeros(0, np.int64)
-    if n > WINDOW:
-        end = np.arange(WINDOW, n)
-        hit = (batch.hashes(end - WINDOW, end) & U64((1 << CUT_BITS) - 1)) == 0
-        cuts = end[hit & ((batch.buf[WINDOW:] & 0xC0) != 0x80)]
+    if len(batch.buf) > WINDOW:
+        after = np.flatnonzero(rolling(batch.buf)[:-1] >> np.uint32(32 - CUT_BITS) == 0) + 1
+        cuts = after[(batch.buf[after] & 0xC0) != 0x80]
     out = []
     for i, text in enumerate(texts):
         lo, hi = int(batch.start[i]), int(batch.end[i])
