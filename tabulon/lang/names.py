@@ -60,6 +60,7 @@ class Side:
     header: list[str] | None
     nr: str | None = None  # column of the record number, if numbered
     nf: Column | None = None
+    ragged: bool = False  # whether records may be shorter than the table is wide
 
 
 class Names:

@@ -1,4 +1,4 @@
-"""Joins: null keys match null keys; strict and first-match joins reduce the right side by key first."""
+"""Joins: null keys match null keys; strict and first-match joins count the right side by key."""
 
 from __future__ import annotations
 
@@ -16,9 +16,9 @@ def equi_join(a: DataFrame, b: DataFrame, pairs: list[tuple[Column, Column]], ho
     return a.join(b, condition(pairs), how)
 
 
-def one_row_per_key(b: DataFrame, keys: list[str], rest: list[str], count: str) -> DataFrame:
-    """The right side reduced to a row per key with the number of rows; the row is the only one if count is 1."""
-    return b.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), *[F.first(F.col(c)).alias(c) for c in rest if c not in keys])
+def with_matches(b: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """The right side with the number of its rows that have the row's key."""
+    return equi_join(b, b.groupBy(*[F.col(k).alias(f"m_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(count)), [(F.col(k), F.col(f"m_{k}")) for k in keys], "inner").drop(*[f"m_{k}" for k in keys])
 
 
 def require(df: DataFrame, test: Column, message: Column) -> DataFrame:
@@ -26,9 +26,8 @@ def require(df: DataFrame, test: Column, message: Column) -> DataFrame:
     return df.where(F.when(test, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
-def strict_left_join(a: DataFrame, b: DataFrame, pairs: list[tuple[Column, Column]], keys: list[str], rest: list[str]) -> DataFrame:
-    single = one_row_per_key(b, keys, rest, "__matches")
-    joined = equi_join(a, single, pairs, "left")
+def strict_left_join(a: DataFrame, b: DataFrame, pairs: list[tuple[Column, Column]], keys: list[str]) -> DataFrame:
+    joined = equi_join(a, with_matches(b, keys, "__matches"), pairs, "left")
     shown = F.concat_ws(", ", *[x.cast("string") for x, _ in pairs])
     message = F.concat(F.lit("STRICT LEFT JOIN needs exactly one match for the key '"), shown, F.lit("', found "), F.coalesce("__matches", F.lit(0)).cast("string"))
     return require(joined, F.coalesce("__matches", F.lit(0)) == 1, message).drop("__matches")

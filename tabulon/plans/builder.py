@@ -18,7 +18,7 @@ from ..lang.names import Expr, Names, Side, kind_of
 from ..lang.pyexpr import Compiler
 from ..operators import aggregates as A
 from ..operators import joins as J
-from ..operators.ordering import distinct_rows, running_count
+from ..operators.ordering import distinct_rows, first_rows, running_count
 from .table import Table, order_by
 
 _STAR = re.compile(r"^(?:([ab])\s*\.\s*)?\*$")
@@ -54,7 +54,7 @@ def _side(prefix: str, t: Table) -> tuple[DataFrame, Side, list[tuple[str, bool]
     if t.nf:
         picked.append(F.col(t.nf).alias(f"{prefix}_nf"))
         nf = F.col(f"{prefix}_nf").cast("bigint")
-    side = Side(prefix, columns, t.types, t.header, nr, nf if nf is not None else F.lit(len(columns)).cast("bigint"))
+    side = Side(prefix, columns, t.types, t.header, nr, nf if nf is not None else F.lit(len(columns)).cast("bigint"), ragged=bool(t.nf))
     return t.df.select(*picked), side, order
 
 
@@ -112,18 +112,17 @@ def _joined(spec: QuerySpec, df: DataFrame, a_side: Side, b: Table, options: Opt
     if spec.action == "update":
         kind, matches = spec.join.kind, "__matches"
         keys = [f"b_k{i}" for i in range(len(pairs))]
-        rest = right.columns
         keyed = right.withColumns({k: p[1] for k, p in zip(keys, pairs, strict=True)})
         by_key = [(p[0], F.col(k)) for k, p in zip(keys, pairs, strict=True)]
         if kind == "strict":
-            return J.strict_left_join(df, keyed, by_key, keys, rest).withColumn(matches, F.lit(1)), both, [], matches
-        out = J.equi_join(df, J.one_row_per_key(keyed, keys, rest, matches), by_key, "left")
+            return J.strict_left_join(df, keyed, by_key, keys).withColumn(matches, F.lit(1)), both, [], matches
+        out = J.equi_join(df, J.with_matches(keyed, keys, matches), by_key, "left")
         out = J.require(out, F.coalesce(F.col(matches), F.lit(0)) <= 1, F.lit("More than one record of the join table matches a record that UPDATE would change"))
         return out.withColumn(matches, F.lit(1) if kind == "left" else F.coalesce(F.col(matches), F.lit(0))), both, [], matches
     if spec.join.kind == "strict":
         keys = [f"b_k{i}" for i in range(len(pairs))]
         keyed = right.withColumns({k: p[1] for k, p in zip(keys, pairs, strict=True)})
-        out = J.strict_left_join(df, keyed, [(p[0], F.col(k)) for k, p in zip(keys, pairs, strict=True)], keys, right.columns)
+        out = J.strict_left_join(df, keyed, [(p[0], F.col(k)) for k, p in zip(keys, pairs, strict=True)], keys)
         return out, both, [], None
     out = J.equi_join(df, right, pairs, spec.join.kind)
     if spec.join.kind == "left":
@@ -138,10 +137,21 @@ def _join_key(text: str, names: Names, options: Options) -> tuple[str, Expr]:
         raise QueryParsingError(f"JOIN can only compare fields: '{text}'")
     base = node.value if isinstance(node, (ast.Attribute, ast.Subscript)) else node
     if base.id in ("bNR", "bNF") or re.fullmatch(r"b\d*", base.id):
-        return "b", e
-    if re.fullmatch(r"a\d*", base.id) or base.id in ("NR", "aNR", "NF", "aNF"):
-        return "a", e
-    return ("a" if names.sides["a"].header and base.id in names.sides["a"].header else "b"), e
+        prefix = "b"
+    elif re.fullmatch(r"a\d*", base.id) or base.id in ("NR", "aNR", "NF", "aNF"):
+        prefix = "a"
+    else:
+        prefix = "a" if names.sides["a"].header and base.id in names.sides["a"].header else "b"
+    return prefix, _present(e, names.sides[prefix])
+
+
+def _present(e: Expr, side: Side) -> Expr:
+    """A key that fails the query where a record is too short to have it, instead of passing for a null."""
+    place = next((i for i, c in enumerate(side.columns) if e.kind != "null" and e.col._jc.toString() == F.col(c)._jc.toString()), None)
+    if place is None or not side.ragged:
+        return e
+    missing = F.raise_error(F.lit(f"The record has no field {place + 1}, which is a JOIN key")).cast(side.types[place])
+    return replace(e, col=F.when(F.col(f"{side.prefix}_nf") > place, e.col).otherwise(missing))
 
 
 # -- select ----------------------------------------------------------------------------------------------------------
@@ -255,7 +265,13 @@ def _project(spec: QuerySpec, df: DataFrame, a: Table, names: Names, compiler: C
         header = (["count"] + header if count else header) if header is not None else None
         is_sorted = False
     if spec.limit is not None:
-        out = out.orderBy(*order_by(sort)).limit(spec.limit) if sort else out.limit(spec.limit)
+        in_scan_order = not (keys or shuffled or spec.distinct or spec.distinct_count)
+        if in_scan_order and a.one_scan:
+            out = first_rows(out, spec.limit, sort)
+        elif in_scan_order and a.by_file:
+            out = first_rows(out, spec.limit, sort, a.by_file)
+        else:
+            out = out.orderBy(*order_by(sort)).limit(spec.limit) if sort else out.limit(spec.limit)
         is_sorted = True
     elif keys:
         out, is_sorted = out.orderBy(*order_by(sort)), True

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import IOHandlingError
-from ..operators.ordering import dense_numbers
+from ..operators.ordering import dense_numbers, file_numbers
 
 ORDER, NUMBER, WIDTH = "__order", "__nr", "__nf"
 
@@ -33,6 +34,8 @@ class Table:
     sorted: bool = True
     warnings: list[str] = field(default_factory=list)
     placed: Callable[[], Table] | None = None  # the table with its order columns, for sources that read them only on demand
+    by_file: list[str] | None = None  # the files, in order, if the order columns are a row's file and its index there
+    one_scan: bool = False  # whether df reads one file without a shuffle, so that its partitions come in record order
 
     @property
     def types(self) -> list[T.DataType]:
@@ -45,6 +48,9 @@ class Table:
             return self
         if self.placed:
             return self.placed().numbered()
+        if self.by_file:
+            df = file_numbers(self.df, self.order[0][0], self.order[1][0], NUMBER)
+            return replace(self, df=df, nr=NUMBER, order=[(NUMBER, True)], by_file=None)
         df = dense_numbers(self.df, NUMBER, self.order)
         return replace(self, df=df, nr=NUMBER, order=[(NUMBER, True)])
 
@@ -98,17 +104,17 @@ def from_dataframe(df: DataFrame, header: list[str] | bool = True) -> Table:
 
 
 def from_parquet(spark: SparkSession, path: str) -> Table:
-    """A Parquet table. A single file is numbered by its row index, which keeps filters pushed down."""
+    """A Parquet table, numbered by row index and, for several files, their offsets. Filters stay pushed down."""
     df = spark.read.parquet(path)
     names = list(df.columns)
     inner = [f"c{i + 1}" for i in range(len(names))]
     picked = [F.col(f"`{n}`").alias(c) for n, c in zip(names, inner, strict=True)]
 
     def placed() -> Table:
-        if len(df.inputFiles()) == 1:
-            return Table(df.select(*picked, (F.col("_metadata.row_index") + 1).alias(NUMBER)), inner, names, [(NUMBER, True)], NUMBER)
+        if len(files := df.inputFiles()) == 1:
+            return Table(df.select(*picked, (F.col("_metadata.row_index") + 1).alias(NUMBER)), inner, names, [(NUMBER, True)], NUMBER, one_scan=True)
         place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
-        return Table(df.select(*picked, *place), inner, names, [("__file", True), ("__row", True)])
+        return Table(df.select(*picked, *place), inner, names, [("__file", True), ("__row", True)], by_file=sorted(re.sub("^([a-z0-9]+):///", r"\1:/", f) for f in files))
 
     return Table(df.select(*picked), inner, names, placed=placed)
 

@@ -27,22 +27,19 @@ class Lint:
     first_spaced_line: int | None
 
 
-def lint_lines(lines: DataFrame, d: Dialect, presorted: bool = False) -> Lint:
+def lint_lines(lines: DataFrame, d: Dialect) -> Lint:
     """One aggregate over the records: widths, the first bad quote, the first field with outer blanks."""
-    r = records(lines, d, presorted)
+    r = records(lines, d)
     f = fields(F.col("text"), d.but(strip_fields=False))
     spaced = F.exists(f, lambda x: x.rlike(r"^\s|\s\z"))
-    from ..operators.ordering import dense_numbers
-
-    parsed = dense_numbers(r.select("ln", F.size(f).alias("n"), broken_quotes(F.col("text"), d).alias("bad"), spaced.alias("spaced")), NUMBER, None if presorted and d.policy != "quoted_rfc" else [("ln", True)])
+    parsed = r.select("ln", NUMBER, F.size(f).alias("n"), broken_quotes(F.col("text"), d).alias("bad"), spaced.alias("spaced"))
     rows = parsed.groupBy("n").agg(F.min(NUMBER).alias("r"), F.count(F.lit(1)).alias("k"), F.min(F.when(F.col("bad"), F.col("ln"))).alias("bad"), F.min(F.when(F.col("spaced"), F.col("ln"))).alias("sp")).orderBy("r").collect()
     bad = min((x["bad"] for x in rows if x["bad"] is not None), default=None)
     return Lint(bad is None and len(rows) <= 1, sum(x["k"] for x in rows), [(x["n"], x["r"]) for x in rows], bad, min((x["sp"] for x in rows if x["sp"] is not None), default=None))
 
 
 def lint_file(spark: SparkSession, path: str, d: Dialect) -> Lint:
-    lines = read_lines(spark, path, d.encoding)
-    return lint_lines(lines, d, presorted=len(lines.inputFiles()) == 1)
+    return lint_lines(read_lines(spark, path, d.encoding), d)
 
 
 def _width(t: str) -> int:

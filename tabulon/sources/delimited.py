@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import IOHandlingError
 from ..functions.scalar import float_text, strip
 from ..lang.names import kind_of
-from ..operators.ordering import dense_numbers
+from ..operators.ordering import dense_numbers, rank_numbers, split_numbers
 from ..plans.table import NUMBER, WIDTH, Table
 from .dialect import Dialect, candidates
 
@@ -19,14 +19,12 @@ BOM = "﻿"
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(file, at, line) of all lines; at orders the lines of a file. A UTF-8 mark at the start is dropped."""
-    if encoding == "latin-1":
-        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "ISO-8859-1").alias("t"))
-        cut = files.select("file", F.split("t", r"\r\n|\r|\n").alias("x"))
-        lines = cut.select("file", F.size("x").alias("n"), F.posexplode("x").alias("at", "line"))
-        return lines.where(~((F.col("line") == "") & (F.col("at") == F.col("n") - 1))).select("file", F.col("at").cast("bigint").alias("at"), "line")
-    text = spark.read.text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    """(file, start, at, line) of all lines; at orders the lines of a file. A UTF-8 mark at the start is dropped."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:  # files must be cut alike whenever they are read
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    line = F.col("value") if encoding != "latin-1" else F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), line.alias("line"))
 
 
 def check_utf8(df: DataFrame) -> DataFrame:
@@ -34,10 +32,6 @@ def check_utf8(df: DataFrame) -> DataFrame:
     return df.where(F.when(~bad, True).otherwise(F.raise_error(F.lit("Unable to decode the input as UTF-8; try latin-1")).cast("boolean")))
 
 
-def _numbered_lines(lines: DataFrame, presorted: bool) -> DataFrame:
-    return dense_numbers(lines, "ln", None if presorted else [("file", True), ("at", True)])
-
-
 def _comment(line: Column, d: Dialect) -> Column | None:
     tests = []
     if d.comment_prefix:
@@ -47,16 +41,23 @@ def _comment(line: Column, d: Dialect) -> Column | None:
     return tests[0] if len(tests) == 1 else tests[0] | tests[1] if tests else None
 
 
-def records(lines: DataFrame, d: Dialect, presorted: bool = False) -> DataFrame:
-    """(ln, text): one row a record, ln the number of its first line. Comment lines go, but not inside a record.
+def records(lines: DataFrame, d: Dialect) -> DataFrame:
+    """(ln, number, text): one row a record, ln the number of its first line. Comment lines go, but not inside a record.
 
-    For quoted_rfc a record goes on while its quotes are odd: quote parities are summed per block of lines, then
-    within blocks, so that no task sees the whole file. Lines that look like comments never open or close a quote.
+    lines: (file, at, line), with the column start if they are a scan's as from read_lines. For quoted_rfc a record goes
+    on while its quotes are odd: quote parities are summed per block of lines, then within blocks, so that no task sees
+    the whole file. Lines that look like comments never open or close a quote.
     """
-    numbered = _numbered_lines(lines, presorted)
     comment = _comment(F.col("line"), d)
+    scanned = "start" in lines.columns
     if d.policy != "quoted_rfc":
-        return (numbered.where(~comment) if comment is not None else numbered).select("ln", F.col("line").alias("text"))
+        keep = ~comment if comment is not None else None
+        if scanned:
+            return split_numbers(lines, keep, "ln", NUMBER).select("ln", NUMBER, F.col("line").alias("text"))
+        numbered = dense_numbers(lines.select("file", "at", "line"), "ln", [("file", True), ("at", True)])
+        ranked = rank_numbers(numbered.where(keep), "ln", NUMBER) if keep is not None else numbered.withColumn(NUMBER, F.col("ln"))
+        return ranked.select("ln", NUMBER, F.col("line").alias("text"))
+    numbered = split_numbers(lines, None, "ln", "__same") if scanned else dense_numbers(lines.select("file", "at", "line"), "ln", [("file", True), ("at", True)])
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
     odd = numbered.withColumn("q", (quotes % 2).cast("int"))
     odd = odd.withColumn("c", comment if comment is not None else F.lit(False)).withColumn("q", F.when(F.col("c"), 0).otherwise(F.col("q")))
@@ -72,7 +73,8 @@ def records(lines: DataFrame, d: Dialect, presorted: bool = False) -> DataFrame:
     upto = Window.partitionBy("b").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
     owner = F.coalesce(F.max(F.when(F.col("start"), F.col("ln"))).over(upto), F.col("carry"))
     owned = starts.join(carried, "b").withColumn("rec", owner)
-    return owned.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("x")).select(F.col("rec").alias("ln"), F.array_join(F.transform("x", lambda v: v["line"]), "\n").alias("text"))
+    glued = owned.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("x")).select(F.col("rec").alias("ln"), F.array_join(F.transform("x", lambda v: v["line"]), "\n").alias("text"))
+    return dense_numbers(glued, NUMBER, [("ln", True)])
 
 
 def fields(text: Column, d: Dialect) -> Column:
@@ -107,7 +109,7 @@ def broken_quotes(text: Column, d: Dialect) -> Column:
     return text.contains('"') & F.exists(parts, lambda x: x.contains('"') & ~x.rlike(whole))
 
 
-def detect_lines(lines: DataFrame, delims: tuple[str, ...] = ("\t", ",", ";", "|"), *, min_lines: int = 10, comment_prefix: str = "#", presorted: bool = False) -> Dialect | None:
+def detect_lines(lines: DataFrame, delims: tuple[str, ...] = ("\t", ",", ";", "|"), *, min_lines: int = 10, comment_prefix: str = "#") -> Dialect | None:
     """The dialect that dialect.detect_by_content finds, judged over all lines of the file.
 
     One aggregate judges the policies of one line a record, and another quoted_rfc if some line has an odd number of
@@ -129,7 +131,7 @@ def detect_lines(lines: DataFrame, delims: tuple[str, ...] = ("\t", ",", ";", "|
     found, multi = judged(plain, [d for d in tried if d.policy != "quoted_rfc"])
     rfc = [d for d in tried if d.policy == "quoted_rfc"]
     if multi and rfc:
-        found |= judged(records(lines, rfc[0], presorted), rfc)[0]
+        found |= judged(records(lines, rfc[0]), rfc)[0]
     best, width = None, 1
     for d in tried:
         k, low, high, bad = found.get(d, (0, 0, 0, True))
@@ -139,8 +141,7 @@ def detect_lines(lines: DataFrame, delims: tuple[str, ...] = ("\t", ",", ";", "|
 
 
 def detect_file(spark: SparkSession, path: str, **options) -> Dialect | None:
-    lines = read_lines(spark, path)
-    return detect_lines(lines, presorted=len(lines.inputFiles()) == 1, **options)
+    return detect_lines(read_lines(spark, path), **options)
 
 
 @dataclass
@@ -162,13 +163,12 @@ def read_delimited(spark: SparkSession, path: str, d: Dialect = Dialect(), *, wi
     lines = read_lines(spark, path, d.encoding)
     if check and d.encoding == "utf-8":
         lines = check_utf8(lines)
-    return table_of_lines(lines, d, width=width, check=check, presorted=len(lines.inputFiles()) == 1)
+    return table_of_lines(lines, d, width=width, check=check)
 
 
-def table_of_lines(lines: DataFrame, d: Dialect, *, width: int | None = None, check: bool = True, presorted: bool = False) -> Table:
-    """presorted: the lines come in file order already, as those of one file do; nothing is sorted then."""
-    parsed = records(lines, d, presorted).withColumn("f", fields(F.col("text"), d)).withColumn("bad", broken_quotes(F.col("text"), d))
-    numbered = dense_numbers(parsed, NUMBER, None if presorted and d.policy != "quoted_rfc" else [("ln", True)])
+def table_of_lines(lines: DataFrame, d: Dialect, *, width: int | None = None, check: bool = True) -> Table:
+    """A table of lines (file, at, line), in the order of file and at."""
+    numbered = records(lines, d).withColumn("f", fields(F.col("text"), d)).withColumn("bad", broken_quotes(F.col("text"), d))
     warnings: list[str] = []
     if check or width is None:
         size = F.size("f")
