@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .errors import QueryParsingError
+from .errors import QueryParsingError, with_hints
 from .lang.clauses import clean, parse_stage, split_stages
 from .lang.udf import load_functions, make_fallback, user_function
 from .plans.builder import Options, build
@@ -59,6 +59,12 @@ class Engine:
 
     def query(self, text: str, table: Table | DataFrame | str | None = None, joins: dict | Table | DataFrame | str | None = None) -> Result:
         """Run a query; its stages, split by '|', feed each other. joins: tables by name, or the one table 'b'."""
+        try:
+            return self._query(text, table, joins)
+        except (QueryParsingError, SyntaxError) as e:
+            raise with_hints(e, text) from e
+
+    def _query(self, text: str, table: Table | DataFrame | str | None, joins: dict | Table | DataFrame | str | None) -> Result:
         options = self._options()
         known = joins if isinstance(joins, dict) else {} if joins is None else {"b": joins, "B": joins}
         current = self.as_table(table) if table is not None else None

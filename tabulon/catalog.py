@@ -23,6 +23,10 @@ def _reverse_words(text: str) -> str:
     return " ".join(reversed(text.split(" ")))
 
 
+def _upper_words(text: str) -> list:
+    return text.upper().split(" ")
+
+
 #: name: (query, table a, table b, SQL, options)
 ENTRIES: dict[str, tuple] = {
     "select_expr": ("SELECT a.l_orderkey, a.l_extendedprice * (1 - a.l_discount) AS revenue", "lineitem", None, "select l_orderkey, l_extendedprice * (1 - l_discount) revenue from lineitem", {}),
@@ -33,7 +37,7 @@ ENTRIES: dict[str, tuple] = {
     "where_and_or": ("SELECT a.l_orderkey, a.l_linenumber WHERE a.l_quantity > 45 and (a.l_returnflag == 'R' or not a.l_linestatus == 'O')", "lineitem", None, "select l_orderkey, l_linenumber from lineitem where l_quantity > 45 and (l_returnflag = 'R' or l_linestatus <> 'O')", {}),
     "where_in": ("SELECT a.o_orderkey WHERE a.o_orderstatus in ['O', 'P'] and a.o_orderpriority not in ('1-URGENT',)", "orders", None, "select o_orderkey from orders where o_orderstatus in ('O', 'P') and o_orderpriority <> '1-URGENT'", {}),
     "where_cmp_chain": ("SELECT a.l_orderkey, a.l_quantity WHERE 10 < a.l_quantity <= 12", "lineitem", None, "select l_orderkey, l_quantity from lineitem where l_quantity > 10 and l_quantity <= 12", {}),
-    "where_like": ("SELECT a.p_partkey, a.p_type WHERE like(a.p_type, '%E%O_')", "part", None, "select p_partkey, p_type from part where p_type like '%E%O_'", {}),
+    "where_like": ("SELECT a.p_partkey, a.p_type WHERE like(a.p_type, '%E%_M%') or like(a.p_type, 'PR__O')", "part", None, "select p_partkey, p_type from part where p_type like '%E%_M%' or p_type like 'PR__O'", {}),
     "where_regex": ("SELECT a.p_partkey, a.p_name WHERE re.match('[a-m].*t', a.p_name) is not None", "part", None, "select p_partkey, p_name from part where regexp_matches(p_name, '^(?:[a-m].*t)')", {}),
     "where_nr": ("SELECT NR, a.o_orderkey WHERE NR > 10 and NR <= 20", "orders", None, 'select * from (select row_number() over () "NR", o_orderkey from orders) where "NR" between 11 and 20', {}),
     "where_short_circuit": ("SELECT a.n_name WHERE a.n_name != '' and int(str(a.n_regionkey)) > 2", "nation", None, "select n_name from nation where n_name <> '' and n_regionkey > 2", {}),
@@ -91,6 +95,16 @@ ENTRIES: dict[str, tuple] = {
     "udf_init_code": ("SELECT a.p_partkey, boxed(a.p_size) AS x", "part", None, "select p_partkey, p_size * 3 + 1 x from part", {"init_source": "def boxed(v) -> int:\n    return v * 3 + 1\n"}),
     "udf_fallback": ("SELECT a.p_partkey, a.p_name.swapcase() AS x", "part", None, "select p_partkey, upper(p_name) x from part where p_name = lower(p_name)", {}),
     "random_order": ("SELECT a.n_nationkey, a.n_name ORDER BY random.random()", "nation", None, "select n_nationkey, n_name from nation", {}),
+    "unfold": ("SELECT a.n_regionkey, FOLD(a.n_name) AS names GROUP BY a.n_regionkey | SELECT a.n_regionkey, UNFOLD(a.names) AS name", "nation", None, "select n_regionkey, n_name as name from nation", {}),
+    "unnest_join": ("SELECT a.c_custkey, UNNEST(b.n_name.split('_')) AS part JOIN B ON a.c_nationkey == b.n_nationkey WHERE a.c_acctbal > 0", "customer", "nation", "select c_custkey, unnest(string_split(n_name, '_')) as part from customer join nation on c_nationkey = n_nationkey where c_acctbal > 0", {}),
+    "udtf_unnest": ("SELECT a.p_partkey, UNNEST(pieces(a.p_name)) AS piece", "part", None, "select p_partkey, unnest(string_split(upper(p_name), ' ')) piece from part", {"functions": {"pieces": (_upper_words, "array<string>")}}),
+    "agg_name_case": ("SELECT Sum(a.l_linenumber) AS s, min(a.l_quantity) AS low, Max(a.l_quantity) AS high, count(1) AS n", "lineitem", None, "select sum(l_linenumber)::bigint s, min(l_quantity) low, max(l_quantity) high, count(*) n from lineitem", {}),
+    "query_comments": ("# first line\nSELECT a.n_name\n  # a comment between\nWHERE a.n_regionkey == 2;", "nation", None, "select n_name from nation where n_regionkey = 2", {}),
+    "query_literals": ("SELECT a.n_name + ' WHERE | SELECT, ' + \"ORDER BY it's\" AS x WHERE a.n_name != 'LIMIT 3'", "nation", None, "select n_name || ' WHERE | SELECT, ORDER BY it''s' x from nation", {}),
+    "clause_order": ("select a.o_orderkey, a.o_totalprice limit 12 order by a.o_totalprice desc where a.o_orderstatus == 'O'", "orders", None, "select o_orderkey, o_totalprice from (select *, row_number() over () nr from orders) where o_orderstatus = 'O' order by o_totalprice desc, nr desc limit 12", {}),
+    "limit_zero": ("SELECT a.n_name LIMIT 0", "nation", None, "select n_name from nation limit 0", {}),
+    "top_where": ("SELECT TOP 25 a.l_orderkey, a.l_linenumber WHERE a.l_returnflag == 'R' and a.l_quantity > 40", "lineitem", None, "select l_orderkey, l_linenumber from (select *, row_number() over () nr from lineitem) where l_returnflag = 'R' and l_quantity > 40 order by nr limit 25", {}),
+    "update_limit_free": ("UPDATE a SET a1 = a1 + 1, a3 = 9 WHERE NR % 2 == 0", "nation", None, "select (n_nationkey + (nr % 2 = 0)::int)::bigint n_nationkey, n_name, case when nr % 2 = 0 then 9 else n_regionkey end::bigint n_regionkey from (select *, row_number() over () nr from nation)", {}),
     "bare_names": ("SELECT n_name, n_regionkey + 1 AS r WHERE n_regionkey > 2", "nation", None, "select n_name, (n_regionkey + 1)::bigint r from nation where n_regionkey > 2", {"bare_names": True}),
 }
 

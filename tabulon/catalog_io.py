@@ -82,11 +82,10 @@ def pandas_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sqlite_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     import sqlite3
-    import tempfile
 
     from .sources.memory import read_sqlite
 
-    path = tempfile.mktemp(suffix=".db")
+    path = scratch_path(spark, "sqlite").removeprefix("file:") + ".db"  # the executors read it too
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()]
     with sqlite3.connect(path) as c:
         c.execute("create table nation (n_nationkey integer, n_name text, n_regionkey integer)")
@@ -124,10 +123,6 @@ def shrink_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.shrink(from_dataframe(padded)).result()
 
 
-def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.markdown(_table(spark, sf_dir, "region"))
-
-
 def tsv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.tsv(_table(spark, sf_dir, "nation")).select("line")
 
@@ -168,7 +163,7 @@ def js_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     csv_roundtrip_quoted, csv_rfc_multiline, csv_whitespace, csv_ragged, csv_tsv, csv_comments, jsonl_query, jsonl_write, pandas_source, sqlite_source,
-    lint_report, detect_dialect, column_stats, align_table, shrink_table, markdown_export, tsv_export, preview_window, stream_select, stream_group, js_dialect,
+    lint_report, detect_dialect, column_stats, align_table, shrink_table, tsv_export, preview_window, stream_select, stream_group, js_dialect,
 )}
 
 _PARTS = [("p_partkey", 1), ("p_name", 2), ("p_brand", 3), ("p_type", 4), ("p_size", 5)]

@@ -103,9 +103,9 @@ def from_dataframe(df: DataFrame, header: list[str] | bool = True) -> Table:
     return Table(plain, inner, names)
 
 
-def from_parquet(spark: SparkSession, path: str) -> Table:
+def from_parquet(spark: SparkSession, path: str, **options: str) -> Table:
     """A Parquet table, numbered by row index and, for several files, their offsets. Filters stay pushed down."""
-    df = spark.read.parquet(path)
+    df = spark.read.options(**options).parquet(path)
     names = list(df.columns)
     inner = [f"c{i + 1}" for i in range(len(names))]
     picked = [F.col(f"`{n}`").alias(c) for n, c in zip(names, inner, strict=True)]

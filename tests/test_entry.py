@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tabulon import catalog, catalog_io
+from tabulon import catalog, catalog_io, catalog_more
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
@@ -24,7 +24,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 3
 
 
-NAMES = sorted((catalog.SQL.keys() | catalog_io.SQL.keys()))
+NAMES = sorted((catalog.SQL.keys() | catalog_io.SQL.keys() | catalog_more.SQL.keys()))
 
 
 @pytest.mark.parametrize("name", NAMES)
