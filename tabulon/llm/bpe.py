@@ -77,10 +77,11 @@ class Coder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Have the ids of all the pieces in the newer half of the cache; what neither half has is encoded."""
-        if len(self.cache) + len(pieces - self.cache.keys()) > CACHE:
-            self.older, self.cache = self.cache, {}
+        missing = [w for w in pieces if w not in self.cache]  # a difference of sets would walk the whole cache
+        if len(self.cache) + len(missing) > CACHE:
+            self.older, self.cache, missing = self.cache, {}, list(pieces)
         new = []
-        for w in pieces - self.cache.keys():
+        for w in missing:
             have = self.older.get(w)
             if have is None:
                 new.append(w)
