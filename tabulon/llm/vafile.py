@@ -1,9 +1,10 @@
 """Exact top-k inner-product search over a vector-approximation file.
 
-Vectors are quantised to cells of equal width. A block of candidates is scanned by its cells, which bound every
-query's inner product from both sides; exact vectors are then read in order of their upper bounds, best first,
-until no unread bound reaches the k-th exact score. Queries travel in waves of bounded size, candidates stay where
-they are read, and each task hands on at most k rows a query.
+The file holds a byte a component: the number of its cell on a grid that cuts each dimension's range into at most 256
+cells of equal width. It is written once. Queries come in waves of bounded size; a wave scans the file, not the vectors:
+a cell bounds a component from both sides, so a query's inner product with a vector is bounded from its cells. A task
+hands on what can still be among the k best of what it has seen. Exact vectors are then read only for the survivors of
+all tasks, those of the best bounds first, and the rest only as far as their upper bound reaches the k-th exact score.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL = 8  # cell width in integer units
+from .common import bounded_batches, materialize, may_hold
+
+CELLS = 256
 QUERIES = 512  # queries whose bounds are held at once
-_FIELDS = "query_id long, vec_id long, score long"
+FIRST = 4  # times k candidates a query are read exactly before the rest is asked for
+_LONG = 2**63 - 1
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
@@ -28,104 +32,158 @@ def integer_vectors(df: DataFrame, id_col: str, vector: str, scale: int) -> Data
     )
 
 
-class Top:
-    """The k best (score, smaller id) of each query so far."""
-
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.score = [np.zeros(0, np.int64)] * n
-        self.ids = [np.zeros(0, np.int64)] * n
-
-    def floor(self, q: int) -> float:
-        return float(self.score[q][-1]) if len(self.score[q]) == self.k else -np.inf
-
-    def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
-        s, i = np.concatenate((self.score[q], score)), np.concatenate((self.ids[q], ids))
-        order = np.lexsort((i, -s))[: self.k]
-        self.score[q], self.ids[q] = s[order], i[order]
-
-
-def search_block(top: Top, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> int:
-    """Update the queries' best with one block of candidates; returns how many exact vectors were read."""
-    return sum(_search(top, at, q_ids[at : at + QUERIES], q[at : at + QUERIES], ids, v) for at in range(0, len(q), QUERIES))
-
-
-def _search(top: Top, base: int, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> int:
-    low = np.floor_divide(v, CELL)
-    centre = low.astype(np.float64) * CELL + (CELL - 1) / 2
-    around = q.astype(np.float64) @ centre.T
-    reach = np.abs(q).sum(1).astype(np.float64) * ((CELL - 1) / 2)
-    slack = np.maximum(np.abs(around).max(1, initial=0), reach) * 1e-9 + 1e-6
-    read = 0
-    for i in range(len(q)):
-        upper = around[i] + reach[i] + slack[i]
-        lower = around[i] - reach[i] - slack[i]
-        own = ids == q_ids[i]
-        lower[own] = -np.inf
-        bar = top.floor(base + i)
-        if len(lower) >= top.k:
-            bar = max(bar, np.partition(lower, len(lower) - top.k)[len(lower) - top.k])
-        left = np.flatnonzero((upper >= bar) & ~own)
-        left = left[np.argsort(-upper[left], kind="stable")]
-        for at in range(0, len(left), 64):
-            part = left[at : at + 64]
-            if upper[part[0]] < top.floor(base + i):
-                break
-            exact = v[part].astype(object) @ q[i].astype(object) if _wide(v, q) else v[part] @ q[i]
-            top.add(base + i, np.asarray(exact, np.int64), ids[part])
-            read += len(part)
-    return read
-
-
-def _wide(v: np.ndarray, q: np.ndarray) -> bool:
-    big = float(max(np.abs(v).max(initial=0), 1)) * float(max(np.abs(q).max(initial=0), 1)) * max(v.shape[1], 1)
+def approximate(vectors: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The approximation file (vec_id, vkey, cells), and the grid: the low end and the cell width of each dimension.
+
+    vkey tells vectors of one id apart. The grid has an entry a dimension, whatever the number of vectors.
+    """
+    ends = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("i").collect()
+    low = np.array([r["a"] for r in ends], np.int64)
+    width = np.array([max(1, -(-(r["b"] - r["a"] + 1) // CELLS)) for r in ends], np.int64)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            at = lists.offsets.to_numpy()
+            place = np.arange(at[-1] - at[0]) - np.repeat(at[:-1] - at[0], np.diff(at))
+            cells = ((lists.flatten().to_numpy(zero_copy_only=False) - low[place]) // width[place]).astype(np.uint8).tobytes()
+            edges = (at - at[0]).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([cells[a:b] for a, b in zip(edges, edges[1:])], pa.binary())], ["vec_id", "vkey", "cells"])
+
+    return materialize(vectors.select("vec_id", "vkey", "v").mapInArrow(run, "vec_id long, vkey long, cells binary"), "approximation"), low, width
+
+
+class Bounds:
+    """Scans blocks of cells for queries of one length: what may be among each query's k best, and the k best lower bounds."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, low: np.ndarray, width: np.ndarray, k: int):
+        d = q.shape[1]
+        self.ids, self.k, self.hits = ids, k, []
+        q = q.astype(np.float64)
+        self.scaled = q * width[:d]  # a cell further is so much more
+        spread = (width[:d] - 1).astype(np.float64)
+        self.base = q @ low[:d].astype(np.float64) + np.minimum(q, 0) @ spread  # least product within the first cells
+        self.reach = np.abs(q) @ spread
+        self.slack = (np.abs(self.scaled).sum(1) * CELLS + np.abs(self.base) + self.reach) * 1e-9 + 1e-6
+        self.best = np.full((len(q), k), -np.inf)
+
+    def scan(self, ids: np.ndarray, keys: np.ndarray, cells: np.ndarray) -> None:
+        cells = cells.astype(np.float64).T
+        for at in range(0, len(self.ids), QUERIES):
+            own = slice(at, at + QUERIES)
+            lower = self.scaled[own] @ cells + (self.base[own] - self.slack[own])[:, None]
+            upper = lower + (self.reach[own] + 2 * self.slack[own])[:, None]
+            same = self.ids[own][:, None] == ids[None, :]
+            lower[same] = upper[same] = -np.inf
+            both = np.concatenate((self.best[own], lower), 1)
+            self.best[own] = np.partition(both, both.shape[1] - self.k, 1)[:, -self.k :]
+            query, row = np.nonzero((upper >= self.best[own].min(1)[:, None]) & ~same)
+            self.hits.append((query + at, ids[row], keys[row], lower[query, row], upper[query, row]))
+        if sum(len(h[0]) for h in self.hits) > 2_000_000:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """The hits that the bar by now lets through."""
+        if not self.hits:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float, float))
+        parts = [np.concatenate(x) for x in zip(*self.hits)]
+        ok = parts[4] >= self.best.min(1)[parts[0]]
+        self.hits = [tuple(p[ok] for p in parts)]
+        return self.hits[0]
+
+
+def _wave(part: list, k: int, vectors: DataFrame, cells: DataFrame, low: np.ndarray, width: np.ndarray, block: int) -> DataFrame:
+    """(query_id, vec_id, score) of the hits of some queries, as a table of its own."""
+    spark = vectors.sparkSession
+    by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for n, d in enumerate(sorted({len(r["v"]) for r in part})):
+        own = [(i, r) for i, r in enumerate(part) if len(r["v"]) == d]
+        by_size[d] = np.array([i for i, _ in own], np.int64), np.array([r["vec_id"] for _, r in own], np.int64), np.array([r["v"] for _, r in own], np.int64).reshape(len(own), d)
+    sent = spark.sparkContext.broadcast(by_size)
+
+    def scan(batches):
+        bounds = {d: Bounds(ids, q, low, width, k) for d, (_, ids, q) in sent.value.items()}
+        for batch in batches:
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            raw = batch.column(2).to_pylist()
+            sizes = np.array([len(x) for x in raw])
+            for d in np.unique(sizes):
+                if int(d) in bounds:
+                    rows = np.flatnonzero(sizes == d)
+                    for b in range(0, len(rows), block):
+                        own = rows[b : b + block]
+                        bounds[int(d)].scan(ids[own], keys[own], np.frombuffer(b"".join([raw[i] for i in own]), np.uint8).reshape(len(own), d))
+        for d, x in bounds.items():
+            query, vec, key, lower, upper = x.settle()
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value[d][0][query]), pa.array(vec), pa.array(key), pa.array(lower), pa.array(upper)], ["q", "vec_id", "vkey", "lower", "upper"])
+
+    def exact(batches):
+        held = {int(i): v for at, _, q in sent.value.values() for i, v in zip(at, q)}
+        ids = {int(i): int(x) for at, own, _ in sent.value.values() for i, x in zip(at, own)}
+        for batch in batches:
+            rows = batch.to_pydict()
+            scores = []
+            for i, v in zip(rows["q"], rows["v"]):
+                s = sum(int(a) * int(b) for a, b in zip(held[i], v)) if _wide(held[i], v) else int(held[i] @ np.array(v, np.int64))
+                scores.append(max(-_LONG - 1, min(_LONG, s)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[i] for i in rows["q"]], pa.int64()), batch.column(1), pa.array(scores, pa.int64())], ["q", "query_id", "vec_id", "score"])
+
+    found = cells.mapInArrow(scan, "q long, vec_id long, vkey long, lower double, upper double").distinct()
+    # repeated rows count once here, which can only lower the bar
+    bar = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("lower").desc()))).where(F.col("n") == k).select("q", F.col("lower").alias("bar"))
+    left = materialize(
+        found.join(bar, "q", "left").where(F.col("bar").isNull() | (F.col("upper") >= F.col("bar")))
+        .withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("upper").desc(), "vec_id", "vkey"))), "survivors")
+    read = lambda x: x.select("q", "vec_id", "vkey").join(vectors, ["vec_id", "vkey"]).select("q", "vec_id", "v").mapInArrow(exact, "q long, query_id long, vec_id long, score long")
+    first = materialize(read(left.where(F.col("n") <= FIRST * k)), "best")
+    sure = first.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).where(F.col("n") == k).select("q", F.col("score").cast("double").alias("sure"))
+    # a double may round the score up by a little, which the tolerance takes back
+    rest = left.where(F.col("n") > FIRST * k).join(sure, "q", "left").where(F.col("sure").isNull() | (F.col("upper") >= F.col("sure") - F.abs("sure") * 1e-12 - 1e-6))
+    out = materialize(first.unionByName(read(rest)).select("query_id", "vec_id", "score"), "hits")
+    sent.destroy()
+    return out
+
+
+def without_surplus(vectors: DataFrame, k: int) -> DataFrame:
+    """The rows (vec_id, v, vkey) without those that can be in no result, as k + 1 smaller ids have the same vector.
+
+    Only vectors whose fingerprint many rows share are looked at, so the others aren't shuffled.
+    """
+    hot = vectors.groupBy("vkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("vkey")
+    marked = may_hold(vectors, "vkey", hot)
+    rank = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    thinned = marked.where("may").drop("may").withColumn("n", rank).where(F.col("n") <= k + 1).drop("n")
+    return marked.where("not may").drop("may").unionByName(thinned)
+
+
+def _wide(a, b) -> bool:
+    big = float(max(max(map(abs, a.tolist()), default=0), 1)) * float(max(max(map(abs, b), default=0), 1)) * max(len(b), 1)
     return big >= 2.0**62
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, wave_bytes: int = 16_000_000, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) over integer vectors (vec_id, v); ties go to the smaller vec_id.
 
-    A query's own rows are those of its vec_id. Rows of one vec_id and vector count once as queries. Vectors of
-    another length than the query's are no candidates for it. Queries are sent in waves of at most ``wave_bytes``
-    (each wave is one scan of the candidates), so the driver never holds more than a wave.
+    A query's own rows are those of its vec_id. Rows of one vec_id and vector count once as queries; queries that share
+    an id with different vectors have their hits ranked together. Repeated candidates count each. Vectors of another
+    length than the query's are no candidates for it. Scores beyond 64 bits stand at the end of the range. Queries are
+    sent in waves of at most ``wave_bytes``, each of which is one scan of the approximation file and is given up before
+    the next, so the driver never holds more than a wave. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    queries = queries.distinct()
+    bounded_batches(spark)
+    queries = queries.select("vec_id", "v").distinct()
     shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     if not shape["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    keyed = materialize(without_surplus(vectors.select("vec_id", "v").withColumn("vkey", F.xxhash64("v")), k), "vectors")
+    cells, low, width = approximate(keyed)
     waves = -(-shape["n"] * (8 * max(shape["d"], 1) + 16) // (wave_bytes // 2))
     found = None
     for w in range(waves):
         part = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(waves)) == w).orderBy("vec_id").collect()
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for d in {len(r["v"]) for r in part}:
-            own = [r for r in part if len(r["v"]) == d]
-            by_size[d] = np.array([r["vec_id"] for r in own], np.int64), np.array([r["v"] for r in own], np.int64).reshape(len(own), d)
-        sent = spark.sparkContext.broadcast(by_size)
-
-        def run(batches, sent=sent):
-            held = sent.value
-            tops = {d: Top(len(x[0]), k) for d, x in held.items()}
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                lists = batch.column(1)
-                sizes = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                at = np.concatenate(([0], np.cumsum(sizes)))
-                for d in np.unique(sizes):
-                    if int(d) in held:
-                        rows = np.flatnonzero(sizes == d)
-                        v = flat[at[rows][:, None] + np.arange(d)]
-                        for b in range(0, len(rows), block):
-                            search_block(tops[int(d)], *held[int(d)], ids[rows[b : b + block]], v[b : b + block])
-            out = [(held[d][0][i], t.ids[i], t.score[i]) for d, t in tops.items() for i in range(len(t.ids)) if len(t.ids[i])]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
-                    ["query_id", "vec_id", "score"])
-
-        hits = vectors.select("vec_id", "v").mapInArrow(run, _FIELDS)
-        found = hits if found is None else found.unionByName(hits)
+        if part:
+            hits = _wave(part, k, keyed, cells, low, width, block)
+            found = hits if found is None else found.unionByName(hits)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

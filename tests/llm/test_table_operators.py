@@ -69,6 +69,15 @@ def test_warc(spark):
     assert warc.archive_round_trip(df.where("page_id < 0")).count() == 0
 
 
+def test_warc_null_ids_and_repeated_rows(spark):
+    rows = [(1, "x"), (1, "x"), (2, "x"), (2, "x"), (None, "x"), (None, "y"), (None, "y"), (5, "z"), (6, "\r\n\r\n"), (7, "\r\n\r\n\r\n\r\na"), (8, "\r\n\r\n")]
+    df = spark.createDataFrame([(i, "u", h, 1, "k") for i, h in rows], "page_id long, url string, html string, size int, sha string").repartition(3)
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.valid) for r in warc.archive_round_trip(df).collect()), key=str)
+    assert got == sorted([
+        (1, "revisit", 2, 1, True), (1, "revisit", 2, 1, True), (2, "response", None, 1, True), (2, "response", None, 1, True), (None, "revisit", 2, 1, True), (None, "response", None, 1, True),
+        (None, "response", None, 1, True), (5, "response", None, 1, True), (6, "revisit", 8, 4, True), (7, "response", None, 9, True), (8, "response", None, 4, True)], key=str)
+
+
 def brute_top(rows, queries_at, k):
     out = {}
     for q, v in rows:
@@ -105,6 +114,31 @@ def test_search_waves(spark):
     assert one == sorted(map(tuple, vafile.top_k(ints, ints, 3, wave_bytes=3000).collect()))
 
 
+def test_search_reads_few_exact_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    ints = vafile.integer_vectors(df, "vec_id", "embedding", 256)
+    read = []
+    kept = vafile.materialize
+    monkeypatch.setattr(vafile, "materialize", lambda t, name: (lambda out: (read.append(out.count()) if name == "hits" else None, out)[1])(kept(t, name)))
+    got: dict = {}
+    for r in vafile.top_k(ints, ints.where("vec_id % 100 = 0"), 5, wave_bytes=8000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_top([(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows], 100, 5)
+    assert 30 * 5 <= sum(read) < 0.05 * 30 * 3000 and len(read) > 1
+
+
+def test_search_repeated_rows_and_extra_columns(spark):
+    rows = [(0, [1.0, 1.0]), (0, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 3.0]), (2, [2.0, 0.0]), (None, [9.0, 9.0]), (3, [])]
+    df = spark.createDataFrame([(i, v, 7, 8) for i, v in rows], "vec_id long, embedding array<double>, score int, q int")
+    ints = vafile.integer_vectors(df, "vec_id", "embedding", 1)
+    got = [tuple(r) for r in vafile.top_k(ints, ints.where("vec_id = 0"), 3).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 3), (0, 2, 2, 2), (0, 3, 1, 1)]
+    huge = spark.createDataFrame([(0, [2**40, 2**40]), (1, [2**40, 1]), (2, [-(2**40), 0])], "vec_id long, v array<long>")
+    assert [r.score for r in vafile.top_k(huge, huge.where("vec_id = 0"), 3).orderBy("rank").collect()] == [2**63 - 1, -(2**63)]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_against_sql(spark, name):
