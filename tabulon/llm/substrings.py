@@ -2,11 +2,12 @@
 
 Positions of a document are sampled by a difference cover D modulo v: for any two positions there is a shift below v
 that brings both into the sample. So two equal strings of ``length`` bytes hold equal sampled tuples of
-length - v + 1 bytes at one place. The tuples are named (64-bit fingerprints), the names sorted in buckets, and names
-that occur once go: no long match can hold them. Around the names that are left, every window of ``length`` bytes,
-sampled or not, is fingerprinted from its bytes. This stands in for the recursion on names and the merge of the other
-suffixes by rank: equal windows are all that is asked for, not the order of suffixes. Equal fingerprints are
-neighbours in sorted buckets, and all but the earliest are repeats.
+length - v + 1 bytes at one place. The tuples are named, the names sorted in buckets, and names that occur once go: no
+long match can hold them. Around the names that are left, every string of ``length`` bytes, sampled or not, is named in
+its turn; equal names are neighbours in sorted buckets, and all but the earliest are repeats. There are no ranks: equal
+strings are all that is asked for, not the order of suffixes, so the recursion on names and the merge of the other
+suffixes by rank are left out. Names are fingerprints modulo a prime of 61 bits; among n of them, two different strings
+share one with a chance of about n^2 / 2^62.
 
 Texts travel in compressed slices. A slice sends each name once a bucket, in sorted order and delta-coded, and gets
 one bit a name back, so a name that is frequent anywhere costs its bucket one entry a slice, not one an occurrence.
@@ -30,7 +31,7 @@ from .textbatch import U64, Batch, slices
 #: A perfect difference set, 8 residues whose differences give every residue modulo 57 once.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 SLICE_BYTES = 2_000_000
-BUCKET_NAMES = 4_000_000  # names that a bucket holds on average, at most
+BUCKET_NAMES = 500_000  # names that a bucket holds on average, at most
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -119,6 +120,7 @@ def _reduce(table: pa.Table) -> pa.Table:
     payload, ids = table.column("payload").to_pylist(), table.column("ids").to_pylist()
     slice_ids = table.column("slice").to_pylist()
     masks: list[bytes] = [b""] * len(kinds)
+    counts, hits = [0] * len(kinds), [0] * len(kinds)
     for kind in set(kinds):
         rows = [i for i in range(len(kinds)) if kinds[i] == kind]
         parts = [unpack_sorted(payload[i]) for i in rows]
@@ -144,12 +146,12 @@ def _reduce(table: pa.Table) -> pa.Table:
         flag[order] = hit
         at = 0
         for i, n in zip(rows, sizes):
-            masks[i] = np.packbits(flag[at : at + n]).tobytes()
+            masks[i], counts[i], hits[i] = np.packbits(flag[at : at + n]).tobytes(), n, int(flag[at : at + n].sum())
             at += n
-    return pa.table({"slice": table.column("slice"), "kind": table.column("kind"), "bucket": table.column("bucket"), "n": pa.array([0 if not p else len(unpack_sorted(p)) for p in payload], pa.int64()), "mask": pa.array(masks, pa.binary())})
+    return pa.table({"slice": table.column("slice"), "kind": table.column("kind"), "bucket": table.column("bucket"), "n": pa.array(counts, pa.int64()), "hits": pa.array(hits, pa.int64()), "mask": pa.array(masks, pa.binary())})
 
 
-_REPLY = "slice long, kind int, bucket int, n long, mask binary"
+_REPLY = "slice long, kind int, bucket int, n long, hits long, mask binary"
 _SEND = "bucket int, slice long, kind int, payload binary, ids binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary()), ("ids", pa.binary())])
 
@@ -203,9 +205,10 @@ def remove_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
 
     parts = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "slice long, ids binary, sizes binary, packed binary, bytes long"), "slices")
     total = parts.agg(F.sum("bytes")).first()[0] or 0
-    bits = max(6, math.ceil(math.log2(max(total * len(COVER) / PERIOD / BUCKET_NAMES, 1))))
+    enough = lambda names: max(4, math.ceil(math.log2(max(names / BUCKET_NAMES, 1))))
+    bits = enough(total * len(COVER) / PERIOD)
 
-    def send(part: Slice, slice_id: int, kind: int, sorted_names: np.ndarray, owners: np.ndarray | None):
+    def send(part: Slice, slice_id: int, kind: int, sorted_names: np.ndarray, owners: np.ndarray | None, bits: int = bits):
         for bucket, a, b in _buckets(sorted_names, bits):
             yield {"bucket": bucket, "slice": slice_id, "kind": kind, "payload": pack_sorted(sorted_names[a:b]), "ids": None if owners is None else pack_bytes(owners[a:b].tobytes())}
 
@@ -227,7 +230,7 @@ def remove_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
             owner = part.ids[part.of(p)]
             order, new, _ = _order(names, owner, p)
             first = order[new]
-            yield pa.RecordBatch.from_pylist(list(send(part, r["slice"], SUFFIX, names[first], owner[first])), schema=_SENT)
+            yield pa.RecordBatch.from_pylist(list(send(part, r["slice"], SUFFIX, names[first], owner[first], more)), schema=_SENT)
 
     def finish(batches):
         for r in _rows(batches):
@@ -254,7 +257,8 @@ def remove_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(part.sizes), pa.array(removed[b.end] - removed[b.start]), pa.array(spans[b.end] - spans[b.start]), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     reply = F.struct("kind", "bucket", "n", "mask")
-    first = materialize(parts.mapInArrow(send_names, _SEND).groupBy("bucket").applyInArrow(_reduce, _REPLY).groupBy("slice").agg(F.collect_list(reply).alias("masks")), "sample-replies")
+    first = materialize(parts.mapInArrow(send_names, _SEND).groupBy("bucket").applyInArrow(_reduce, _REPLY).groupBy("slice").agg(F.sum(F.when(F.col("kind") == NAME, F.col("hits"))).alias("hits"), F.collect_list(reply).alias("masks")), "sample-replies")
+    more = enough((first.agg(F.sum("hits")).first()[0] or 0) * PERIOD / len(COVER))
     known = parts.join(first.hint("merge"), "slice", "left").select("slice", "ids", "sizes", "packed", "masks")
     second = known.mapInArrow(send_suffixes, _SEND).groupBy("bucket").applyInArrow(_reduce, _REPLY).groupBy("slice").agg(F.collect_list(reply).alias("masks2"))
     return known.join(second.hint("merge"), "slice", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
