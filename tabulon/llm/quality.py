@@ -155,19 +155,29 @@ def content_share(m: Measured, model: Model) -> np.ndarray:
     return (content[first[1:]] - content[first[:-1]]) / np.maximum(total[first[1:]] - total[first[:-1]], 1)
 
 
-def train(sequences: list[tuple[np.ndarray, int]], *, steps: int = 100, rate: float = 0.3, penalty: float = 0.01, tie: float = 1.0, lean: float = 1.2) -> Model:
-    """Fit the CRF by gradient ascent on sequences of (line features, document label).
-
-    All lines of a good document count as content and those of a bad one as boilerplate. Without documents of both
-    labels the default weights come back, which call every line content. As such labels never change within a
-    document, the transitions are held back by the penalty ``tie``, so that lines keep a say of their own; ``lean``
-    is added to the content bias, as losing a clean document costs more than keeping a poor one.
+def train(sequences: list[tuple[np.ndarray, int]]) -> Model:
+    """Fit the CRF on sequences of (line features, document label). Without documents of both labels the default
+    weights come back, which call every line content.
+
+    Only documents are labelled, so lines get their labels in two steps. First all lines of a good document count as
+    content and those of a bad one as boilerplate; as such labels never change within a document, transitions are held
+    back by a penalty. Under the weights found so, each line of a bad document is labelled by itself, lines of good ones
+    stay content, and the CRF is fitted again on these labels, transitions and all.
     """
     if len({y for _, y in sequences}) < 2:
         return Model()
+    first = _fit(sequences, [np.full(len(x), y) for x, y in sequences], tie=1.0)
+    score = lambda x: x @ np.array(first.emission).T
+    return _fit(sequences, [np.ones(len(x), int) if y else (score(x)[:, 1] > score(x)[:, 0]).astype(int) for x, y in sequences])
+
+
+def _fit(sequences: list[tuple[np.ndarray, int]], labels: list[np.ndarray], *, steps: int = 100, rate: float = 0.3, penalty: float = 0.01, tie: float = 0.01) -> Model:
+    """Gradient ascent on the likelihood of the line labels; good and bad documents weigh the same in all, lines of a
+    document share its weight. penalty, tie: ridge on emissions and on transitions."""
     # lines stand by their place in the document and documents by falling length, so nothing is padded or cut: the
     # lines at place t are edge[t]:edge[t + 1], and their predecessors are the first so many at place t - 1
-    sequences = sorted(sequences, key=lambda s: -len(s[0]))
+    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i][0]))
+    sequences, labels = [sequences[i] for i in order], [labels[i] for i in order]
     n, f = len(sequences), len(FEATURES)
     y = np.array([label for _, label in sequences])
     n_lines = np.array([len(x) for x, _ in sequences])
@@ -175,7 +185,7 @@ def train(sequences: list[tuple[np.ndarray, int]], *, steps: int = 100, rate: fl
     at = np.arange(len(of)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
     order = np.lexsort((of, at))
     kinds, kind = np.unique(np.concatenate([x for x, _ in sequences]), axis=0, return_inverse=True)
-    kind, of, at = kind.ravel()[order], of[order], at[order]
+    kind, of, at, line_label = kind.ravel()[order], of[order], at[order], np.concatenate(labels).astype(int)[order]
     kinds = kinds.astype(float)
     edge = np.concatenate(([0], np.cumsum(np.bincount(at)))) if len(at) else np.zeros(1, int)
     width = len(edge) - 1
@@ -190,7 +200,7 @@ def train(sequences: list[tuple[np.ndarray, int]], *, steps: int = 100, rate: fl
     emission, transition = np.zeros((2, f)), np.zeros((2, 2))
     memory = [np.zeros((2, f)) + 1e-6, np.zeros((2, 2)) + 1e-6]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y, y), np.maximum(n_lines - 1, 0) * weight)
+    np.add.at(seen, (line_label[earlier], line_label[later]), per_line[later])
     for _ in range(steps):
         e = (kinds @ emission.T)[kind]
         alpha, beta = e.copy(), np.zeros_like(e)
@@ -204,7 +214,7 @@ def train(sequences: list[tuple[np.ndarray, int]], *, steps: int = 100, rate: fl
             beta[edge[t] : edge[t] + j - i] = np.logaddexp(inner[:, :1] + transition.T[:1], inner[:, 1:] + transition.T[1:])
         log_z[full] = np.logaddexp(alpha[last, 0], alpha[last, 1])
         diff = -np.exp(alpha + beta - log_z[of, None])
-        diff[np.arange(len(of)), y[of]] += 1
+        diff[np.arange(len(of)), line_label] += 1
         diff *= per_line[:, None]
         g_e = np.stack([np.bincount(kind, diff[:, k], len(kinds)) for k in (0, 1)]) @ kinds / n - penalty * emission
         g_t = -tie * transition
@@ -214,7 +224,6 @@ def train(sequences: list[tuple[np.ndarray, int]], *, steps: int = 100, rate: fl
         for w, g, m in ((emission, g_e, memory[0]), (transition, g_t, memory[1])):
             m += g * g
             w += rate * g / np.sqrt(m)
-    emission[1, 0] += lean
     return Model(emission.tolist(), transition.tolist())
 
 

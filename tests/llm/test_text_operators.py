@@ -98,6 +98,63 @@ def test_crf_learns_lines():
     assert quality.viterbi(e, np.array(model.transition), np.array([0, 5])).tolist() == [1, 1, 0, 0, 0]
 
 
+def test_crf_gradient_is_that_of_the_likelihood():
+    """One step of the trainer moves the weights the way that brute-force likelihoods rise."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    f = len(quality.FEATURES)
+    sequences = [(rng.integers(0, 2, (n, f)).astype(float), y) for n, y in ((1, 1), (4, 0), (3, 1), (0, 0), (5, 0))]
+    labels = [rng.integers(0, 2, len(x)) for x, _ in sequences]
+
+    def likelihood(model):
+        e, t, total = np.array(model.emission), np.array(model.transition), 0.0
+        for (x, y), own in zip(sequences, labels):
+            if len(x):
+                s = x @ e.T
+                score = lambda p: sum(s[i, p[i]] for i in range(len(x))) + sum(t[p[i], p[i + 1]] for i in range(len(x) - 1))  # noqa: B023, E731
+                share = np.mean([k == y for _, k in sequences])
+                total += 0.5 / share / len(x) * (score(own) - np.log(sum(np.exp(score(p)) for p in itertools.product((0, 1), repeat=len(x)))))
+        return total / len(sequences) - 0.025 * (e**2).sum() - 0.025 * (t**2).sum()
+
+    fitted = quality._fit(sequences, labels, steps=1000, penalty=0.05, tie=0.05)
+    best = likelihood(fitted)
+    assert best > likelihood(quality.Model([[0.0] * f] * 2, [[0.0] * 2] * 2))
+    for k in range(2):  # the transitions are near a maximum
+        for j in range(2):
+            for step in (-0.5, 0.5):
+                t = np.array(fitted.transition)
+                t[k, j] += step
+                assert likelihood(quality.Model(fitted.emission, t.tolist())) < best + 1e-3
+
+
+def brute_kept(t, model):
+    """Verdict of the quality rules by plain loops: base rules, best path over all labellings, share of content."""
+    import itertools
+
+    n, _, _, _, repeated = brute_quality(t)
+    if n < 20 or 100 * repeated > 30 * n:
+        return False
+    m = quality.measure([t.encode()])
+    e, trans = m.line_features @ np.array(model.emission, np.float32).T, np.array(model.transition)
+    score = lambda y: sum(e[i, y[i]] for i in range(len(e))) + sum(trans[y[i], y[i + 1]] for i in range(len(y) - 1))
+    best = max(itertools.product((0, 1), repeat=len(e)), key=score)
+    chars = [sum(map(len, re.findall(SPACE, line))) for line in t.split("\n")]
+    return sum(c for c, y in zip(chars, best) if y) >= 0.5 * max(sum(chars), 1)
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)) + "."
+    junk = lambda n: " ".join(rng.choice(["#*#", "$%&", "<>", "||", "12 34"]) for _ in range(n))
+    texts = ["\n".join(prose(rng.randint(3, 15)) if rng.random() < p else junk(rng.randint(3, 15)) for _ in range(rng.randint(2, 8))) for p in (0.1, 0.3, 0.5, 0.7, 0.9) for _ in range(12)]
+    labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(60)], "doc_id long, quality int")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.fit(df, labels)
+    got = {r.doc_id: r.kept for r in quality.score(df, model).collect()}
+    assert got == {i: brute_kept(t, model) for i, t in enumerate(texts)} and 5 < sum(got.values()) < 55
+
+
 def test_crf_sees_the_ends_of_long_documents(spark):
     head = ["the same words stand here in line %d of all documents." % i for i in range(60)]
     rows = [(i, "\n".join(head + (["#*# $%& <> ||"] * 20 if i % 2 else ["and some more words of the usual kind stand here."]))) for i in range(40)]
