@@ -17,12 +17,14 @@ _OWN_SCRATCH: list[str] = []
 def scratch(spark: SparkSession) -> str:
     """The shared folder for tables that cut lineage.
 
-    It is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a temporary folder of this machine stands in.
+    It is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset and all runs in this
+    process (tests, a laptop) a temporary folder of this machine stands in.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_SCRATCH:
         _OWN_SCRATCH.append(tempfile.mkdtemp(prefix="tabulon-"))
     return _OWN_SCRATCH[0]
@@ -36,7 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lost executors cost a re-read, not a recomputation."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and nothing reads any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t.scratch_path)
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
@@ -111,7 +121,9 @@ def components(edges: DataFrame, src: str, dst: str, *, max_rounds: int = 60) ->
             .join(step.select(u_alias("node", "v"), F.col("parent").alias("pv")), "v")
             .where(F.col("pu") != F.col("pv"))
             .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
-        level = materialize(moved, "edges")
+        last, level = level, materialize(moved, "edges")
+        release(last)
+    release(level)
     if not maps:
         return spark.createDataFrame([], f"node {node_type}, component {node_type}")
     found = maps[0].select("node", F.col("parent").alias("root"))
@@ -119,6 +131,7 @@ def components(edges: DataFrame, src: str, dst: str, *, max_rounds: int = 60) ->
         found = found.join(step.select(F.col("node").alias("root"), "parent"), "root", "left").select(
             "node", F.coalesce("parent", "root").alias("root"))
     found = materialize(found, "roots")
+    release(*maps)
     least = found.groupBy("root").agg(F.min("node").alias("component"))
     return found.join(least, "root").select("node", "component")
 

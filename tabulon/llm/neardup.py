@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, materialize, may_hold
+from .common import bounded_batches, components, materialize, may_hold, release
 from .textbatch import U64, Batch, mix, shingles, slices, trim
 
 
@@ -160,6 +160,7 @@ def near_duplicates(documents: DataFrame, p: Params = Params()) -> DataFrame:
     candidates = materialize(may_hold(full.select(F.col("doc_id").alias("node"), "n", "sig"), "node", ends).where("may").drop("may").join(ends.hint("merge"), "node", "left_semi"), "candidate-signatures")
     linked = materialize(_verify(_agreeing(met, candidates, p), texts, p).distinct(), "links")
     links = linked.unionByName(materialize(_outsiders(met, linked, texts, p), "more-links"))
+    release(index, met, ends, texts, candidates)
     groups = components(links, "a", "b")
     found = sigs.select("doc_id", "n", "digest").join(copies.distinct().hint("merge"), ["doc_id", "digest"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))

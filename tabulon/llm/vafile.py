@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, may_hold
+from .common import bounded_batches, materialize, may_hold, release
 
 CELLS = 256
 QUERIES = 512  # queries whose bounds are held at once
@@ -140,6 +140,7 @@ def _wave(part: list, k: int, vectors: DataFrame, cells: DataFrame, low: np.ndar
     # a double may round the score up by a little, which the tolerance takes back
     rest = left.where(F.col("n") > FIRST * k).join(sure, "q", "left").where(F.col("sure").isNull() | (F.col("upper") >= F.col("sure") - F.abs("sure") * 1e-12 - 1e-6))
     out = materialize(first.unionByName(read(rest)).select("query_id", "vec_id", "score"), "hits")
+    release(left, first)
     sent.destroy()
     return out
 
