@@ -14,6 +14,7 @@ from ..lang.names import kind_of
 from ..operators.ordering import dense_numbers, rank_numbers, split_numbers
 from ..plans.table import NUMBER, WIDTH, Table
 from .dialect import Dialect, candidates
+from .scratch import scratch_path
 
 BOM = "﻿"
 
@@ -270,5 +271,34 @@ def write_delimited(t: Table, path: str, d: Dialect = Dialect(), *, single_file:
         head = t.df.sparkSession.range(1).select(F.concat_ws(d.delim, *cells).alias("line"), *[F.lit(None).cast(types[c]).alias(c) for c, _ in t.order], F.lit(0).alias("__part"))
         lines = head.unionByName(lines)
     key = [F.col("__part"), *order_by(t.order)]
-    out = lines.coalesce(1).sortWithinPartitions(*key) if single_file else lines.orderBy(*key)
-    out.select("line").write.mode(mode).option("lineSep", "\n").text(path)
+    out = lines.orderBy(*key).select("line")
+    if not single_file:
+        out.write.mode(mode).option("lineSep", "\n").text(path)
+        return
+    spark = t.df.sparkSession
+    parts = scratch_path(spark, "parts")
+    out.write.option("lineSep", "\n").text(parts)
+    join_parts(spark, parts, path, mode)
+
+
+def join_parts(spark: SparkSession, parts: str, path: str, mode: str = "errorifexists") -> None:
+    """One text file in the folder path from the part files of a sorted output, copied one after another, and the parts deleted."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    target, source = hadoop.fs.Path(path), hadoop.fs.Path(parts)
+    store, scratch = target.getFileSystem(conf), source.getFileSystem(conf)
+    if store.exists(target):
+        if mode == "ignore":
+            return
+        if mode != "overwrite":
+            raise IOHandlingError(f"The output '{path}' exists")
+        store.delete(target, True)
+    whole = store.create(hadoop.fs.Path(target, "part-00000.txt"))
+    try:
+        for status in sorted(scratch.listStatus(source), key=lambda s: s.getPath().getName()):
+            if status.getPath().getName().startswith("part-"):
+                piece = scratch.open(status.getPath())
+                hadoop.io.IOUtils.copyBytes(piece, whole, 1 << 20, False)
+                piece.close()
+    finally:
+        whole.close()
+    scratch.delete(source, True)

@@ -67,3 +67,47 @@ def test_command_line(tmp_path):
     assert r.stdout == 'name,m\n"a, b",2.5\nc,5.0\n', r.stderr[-500:]
     r = run("-q", "select a.zzz", "-i", str(tmp_path / "t.csv"), "--delim", ",", "--with-headers")
     assert r.returncode == 1 and "query parsing" in r.stderr
+
+
+def test_shell(spark, tmp_path):
+    from tabulon.shell import HISTORY_LENGTH, History, coloured, result_path, run_shell, write_template
+    from tabulon.sources.delimited import read_delimited
+
+    (tmp_path / "t.csv").write_text("name,n\na,1\nb,2\n")
+    d = Dialect(",", "quoted", header=True)
+    t = read_delimited(spark, str(tmp_path / "t.csv"), d)
+    asked = iter(["select a.name", "select a.zzz", "history", "select int(a.n) + 1 as m where a.name == 'b'", "quit"])
+    shown, wrote, history = [], [], History(str(tmp_path / "h"))
+
+    def ask(prompt, complete):
+        assert "a.name" in complete("select a.n")
+        return next(asked)
+
+    def run(query, path):
+        table = Engine(spark).query(query, t).table
+        wrote.append([list(r) for r in table.result(ordered=True).collect()])
+        return table
+
+    assert run_shell(spark, t, d, result_path("t", ","), ask, shown.append, run, history) == 2
+    assert wrote == [[["a"], ["b"]], [[3]]] and any("query parsing" in x for x in shown) and "1: select a.zzz" in shown
+    assert history.read() == ["select int(a.n) + 1 as m where a.name == 'b'", "select a.zzz", "select a.name"]
+    for i in range(2 * HISTORY_LENGTH):
+        history.add(f"q{i % 30}")
+    assert len(history.read()) == HISTORY_LENGTH and history.read()[0] == "q9"
+    assert [result_path("x", s) for s in (",", "\t", ";")] == ["x.csv", "x.tsv", "x.txt"]
+    assert coloured(["p", "q"], ",", names=True) == "\x1b[0ma1:p,\x1b[31ma2:q\x1b[0m"
+    assert write_template(str(tmp_path / "i.py")) and not write_template(str(tmp_path / "i.py"))
+
+
+def test_one_sorted_file_of_many_parts(spark, tmp_path):
+    from tabulon.plans.table import from_dataframe
+    from tabulon.sources.delimited import write_delimited
+
+    df = spark.range(5000).selectExpr("id", "hash(id) as h").repartition(7)
+    result = Engine(spark).query("select a.id order by a.id", from_dataframe(df))
+    write_delimited(result.table, str(tmp_path / "o"), Dialect(","), single_file=True)
+    files = [p for p in (tmp_path / "o").iterdir() if not p.name.startswith(".")]
+    assert len(files) == 1 and files[0].read_text().split() == ["id", *map(str, range(5000))]
+    with pytest.raises(Exception, match="exists"):
+        write_delimited(result.table, str(tmp_path / "o"), Dialect(","), single_file=True)
+    write_delimited(result.table, str(tmp_path / "o"), Dialect(","), single_file=True, mode="overwrite")
