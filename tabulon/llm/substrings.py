@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,20 +187,20 @@ def remove_repeats(documents: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document of smaller id, or
-    earlier in the same one. Null texts are empty; shorter texts stay whole. Rows that repeat an id and a text are
-    one document; other rows that repeat an id come in an arbitrary order, null ids before all others. Extra columns
-    are ignored; an empty table gives an empty result.
+    earlier in the same one. Null texts are empty; shorter texts stay whole. Rows that repeat an id come in the order in
+    which they are read, null ids before all others. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = documents.sparkSession
     bounded_batches(spark, 8 << 20)
 
     def cut(batches):
-        for piece, texts in slices(batches, target=SLICE_BYTES):
+        part = TaskContext.get().partitionId() << 31  # slices are numbered in the order in which rows are read
+        for n, (piece, texts) in enumerate(slices(batches, target=SLICE_BYTES)):
             texts = [t or b"" for t in texts]
             sizes = np.array([len(t) for t in texts], np.int64)
             ids = piece.column(0).to_pylist()
             yield pa.RecordBatch.from_pylist([{
-                "slice": uuid.uuid4().int >> 65, "ids": np.array([-(2**63) if i is None else i for i in ids], np.int64).tobytes(), "sizes": sizes.tobytes(), "packed": pack_bytes(b"".join(texts)), "bytes": int(sizes.sum()),
+                "slice": part + n, "ids": np.array([-(2**63) if i is None else i for i in ids], np.int64).tobytes(), "sizes": sizes.tobytes(), "packed": pack_bytes(b"".join(texts)), "bytes": int(sizes.sum()),
             }], schema=pa.schema([("slice", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("packed", pa.binary()), ("bytes", pa.int64())]))
 
     parts = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "slice long, ids binary, sizes binary, packed binary, bytes long"), "slices")
