@@ -15,7 +15,8 @@ from tabulon.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the line labels; rejected ones go. Null and empty texts are rejected."""
+    """Documents that pass the base rules and the line labels; rejected ones go. Null and empty texts are rejected, repeated
+    rows judged each by itself; an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.fit(docs, labels))
 
@@ -55,17 +56,20 @@ def _near_dedup_of_rows(spark: SparkSession, docs: DataFrame, params: neardup.Pa
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, with the secrets in its text masked."""
+    """Every document stays, with the secrets in its text masked. Null and empty texts stay as they are, repeated rows are
+    masked alike, and an empty table stays empty."""
     return secrets.redact(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their calibrated probabilities."""
+    """Documents drawn by their calibrated probabilities. Null sources and languages count as others, null texts have no
+    tokens; rows that repeat an id share one draw, null ids too; an empty table stays empty."""
     return mixing.sample(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text of every document."""
+    """doc_id, n_tokens and the digests of ids and decoded text of every document, repeated rows included. A null text has
+    no tokens; an empty table gives an empty result."""
     return bpe.encode(docs, vocabulary())
 
 
