@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .api import Engine
@@ -27,6 +28,10 @@ def _upper_words(text: str) -> list:
     return text.upper().split(" ")
 
 
+def _scaled(size: pd.Series, price: pd.Series) -> pd.Series:
+    return size * 100 + price.round().astype("int64") % 100
+
+
 #: name: (query, table a, table b, SQL, options)
 ENTRIES: dict[str, tuple] = {
     "select_expr": ("SELECT a.l_orderkey, a.l_extendedprice * (1 - a.l_discount) AS revenue", "lineitem", None, "select l_orderkey, l_extendedprice * (1 - l_discount) revenue from lineitem", {}),
@@ -92,6 +97,7 @@ ENTRIES: dict[str, tuple] = {
     "scalar_regex": ("SELECT a.p_partkey, re.sub('[aeiou]', '', a.p_name) AS c, len(re.findall('[aeiou]', a.p_name)) AS n", "part", None, "select p_partkey, regexp_replace(p_name, '[aeiou]', '', 'g') c, len(regexp_extract_all(p_name, '[aeiou]'))::bigint n from part", {}),
     "scalar_listcomp": ("SELECT a.p_partkey, ' '.join([w.upper() for w in a.p_name.split(' ') if len(w) > 4]) AS w", "part", None, "select p_partkey, coalesce(array_to_string(list_transform(list_filter(string_split(p_name, ' '), lambda x: length(x) > 4), lambda x: upper(x)), ' '), '') w from part", {}),
     "udf_scalar": ("SELECT a.p_partkey, rev(a.p_name) AS r", "part", None, "select p_partkey, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') r from part", {"functions": {"rev": (_reverse_words, "string")}}),
+    "udf_vectorised": ("SELECT a.p_partkey, scaled(a.p_size, a.p_retailprice) AS x", "part", None, "select p_partkey, p_size * 100 + round_even(p_retailprice, 0)::bigint % 100 x from part", {"functions": {"scaled": (_scaled, "bigint")}}),
     "udf_init_code": ("SELECT a.p_partkey, boxed(a.p_size) AS x", "part", None, "select p_partkey, p_size * 3 + 1 x from part", {"init_source": "def boxed(v) -> int:\n    return v * 3 + 1\n"}),
     "udf_fallback": ("SELECT a.p_partkey, a.p_name.swapcase() AS x", "part", None, "select p_partkey, upper(p_name) x from part where p_name = lower(p_name)", {}),
     "random_order": ("SELECT a.n_nationkey, a.n_name ORDER BY random.random()", "nation", None, "select n_nationkey, n_name from nation", {}),

@@ -29,15 +29,28 @@ def return_type(fn) -> str | None:
     return None
 
 
+def is_vectorised(fn) -> bool:
+    """Whether the function takes and gives whole pandas Series, by its annotations."""
+    import pandas as pd
+
+    hints = {k: v for k, v in getattr(fn, "__annotations__", {}).items() if k != "return"}
+    return bool(hints) and all(v is pd.Series or str(v) in ("pd.Series", "pandas.Series") for v in hints.values())
+
+
 def user_function(fn, ddl: str | None = None):
-    """A callable on Exprs that runs a Python function over Arrow batches; unannotated results become strings."""
+    """A callable on Exprs that runs a Python function over Arrow batches; unannotated results become strings.
+
+    A function annotated to take pandas Series gets a batch at once, and must be given with its type.
+    """
     declared = ddl or return_type(fn)
+    if is_vectorised(fn) and ddl is None:
+        raise QueryParsingError("A function on pandas Series must be given with its type, as (function, type)")
 
     def call(x):
         return None if x is None else str(x)
 
     target = fn if declared else (lambda *a: call(fn(*a)))
-    wrapped = F.udf(target, declared or "string", useArrow=True)
+    wrapped = F.pandas_udf(lambda *a: fn(*a), declared, F.PandasUDFType.SCALAR) if is_vectorised(fn) else F.udf(target, declared or "string", useArrow=True)
 
     def apply(*args: Expr) -> Expr:
         from pyspark.sql.types import _parse_datatype_string
