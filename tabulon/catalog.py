@@ -110,6 +110,7 @@ ENTRIES: dict[str, tuple] = {
     "clause_order": ("select a.o_orderkey, a.o_totalprice limit 12 order by a.o_totalprice desc where a.o_orderstatus == 'O'", "orders", None, "select o_orderkey, o_totalprice from (select *, row_number() over () nr from orders) where o_orderstatus = 'O' order by o_totalprice desc, nr desc limit 12", {}),
     "limit_zero": ("SELECT a.n_name LIMIT 0", "nation", None, "select n_name from nation limit 0", {}),
     "top_where": ("SELECT TOP 25 a.l_orderkey, a.l_linenumber WHERE a.l_returnflag == 'R' and a.l_quantity > 40", "lineitem", None, "select l_orderkey, l_linenumber from (select *, row_number() over () nr from lineitem) where l_returnflag = 'R' and l_quantity > 40 order by nr limit 25", {}),
+    "top_times": ("SELECT TOP 30 a.event_id, a.ts WHERE a.event_type == 'click'", "events", None, "select event_id, ts from (select *, row_number() over () nr from events) where event_type = 'click' order by nr limit 30", {}),
     "update_limit_free": ("UPDATE a SET a1 = a1 + 1, a3 = 9 WHERE NR % 2 == 0", "nation", None, "select (n_nationkey + (nr % 2 = 0)::int)::bigint n_nationkey, n_name, case when nr % 2 = 0 then 9 else n_regionkey end::bigint n_regionkey from (select *, row_number() over () nr from nation)", {}),
     "bare_names": ("SELECT n_name, n_regionkey + 1 AS r WHERE n_regionkey > 2", "nation", None, "select n_name, (n_regionkey + 1)::bigint r from nation where n_regionkey > 2", {"bare_names": True}),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,27 +51,54 @@ def file_numbers(df: DataFrame, file: str, row: str, name: str) -> DataFrame:
     return df.join(F.broadcast(starts), file).withColumn(name, F.col("__base") + F.col(row)).drop("__base")
 
 
-def split_numbers(lines: DataFrame, keep: Column | None, line_number: str, number: str) -> DataFrame:
+@dataclass
+class Splits:
+    """Where the numbers of each input split begin. starts: (file, start, partition, line, low, high, base): lines are numbered
+    from line + their place in the partition, kept lines from base + their place among those kept, which is in [low, high)."""
+
+    starts: list[tuple]
+
+    @classmethod
+    def of(cls, found: list) -> Splits:
+        """found: rows with file, start, n (lines), at (the first line's place), kept (lines); several for a split add up."""
+        merged: dict[tuple[str, int], list[int]] = {}
+        for r in found:
+            x = merged.setdefault((r["file"], r["start"]), [0, r["at"], 0])
+            x[0], x[1], x[2] = x[0] + r["n"], min(x[1], r["at"]), x[2] + r["kept"]
+        before: Counter[int] = Counter()
+        place = {}
+        for key, (_, at, kept) in sorted(merged.items(), key=lambda m: m[1][1]):  # kept lines of the splits that come before in the same partition
+            place[key] = before[at >> 33]
+            before[at >> 33] += kept
+        rows, n_lines, n_kept = [], 1, 1
+        for key, (n, at, kept) in sorted(merged.items()):
+            rows.append((*key, at >> 33, n_lines - (at & _PLACE), place[key], place[key] + kept, n_kept - place[key]))
+            n_lines, n_kept = n_lines + n, n_kept + kept
+        return cls(rows)
+
+    def line(self, file: str, start: int, at: int) -> int:
+        """The number of the line at a place."""
+        if not hasattr(self, "_lines"):
+            self._lines = {r[:2]: r[3] for r in self.starts}
+        return self._lines[file, start] + (at & _PLACE)
+
+
+def count_splits(lines: DataFrame, keep: Column | None) -> Splits:
+    kept = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
+    return Splits.of(lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.count_if(kept).alias("kept")).collect())
+
+
+def split_numbers(lines: DataFrame, keep: Column | None, line_number: str, number: str, splits: Splits | None = None) -> DataFrame:
     """The kept ones of lines (file, start, at, line), numbered from 1 among all lines and among the kept ones.
 
     start: where the line's input split begins in its file; at: monotonically_increasing_id over the scan. One count by
-    split gives the offsets, which are broadcast: a row a split, of which Spark's own list is on the driver. Rows aren't
-    moved. Should the splits have changed since they were counted, the query fails rather than number rows wrongly.
+    split, unless splits has it, gives the offsets, which are broadcast: a row a split, of which Spark's own list is on the
+    driver. Rows aren't moved. Should the splits have changed since they were counted, the query fails rather than number
+    rows wrongly.
     """
-    kept = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
-    found = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.count_if(kept).alias("kept")).collect()
-    before: Counter[int] = Counter()
-    place = {}
-    for r in sorted(found, key=lambda r: r["at"]):  # kept lines of the splits that come before in the same partition
-        place[r["file"], r["start"]] = before[r["at"] >> 33]
-        before[r["at"] >> 33] += r["kept"]
-    rows, n_lines, n_kept = [], 1, 1
-    for r in sorted(found, key=lambda r: (r["file"], r["start"])):
-        own = place[r["file"], r["start"]]
-        rows.append((r["file"], r["start"], r["at"] >> 33, n_lines - (r["at"] & _PLACE), own, own + r["kept"], n_kept - own))
-        n_lines, n_kept = n_lines + r["n"], n_kept + r["kept"]
-    starts = lines.sparkSession.createDataFrame(rows, "file string, start long, __part long, __line long, __low long, __high long, __base long")
-    df = (lines.where(kept) if keep is not None else lines).withColumn("__own", F.monotonically_increasing_id()).join(F.broadcast(starts), ["file", "start"], "left")
+    splits = splits or count_splits(lines, keep)
+    starts = lines.sparkSession.createDataFrame(splits.starts, "file string, start long, __part long, __line long, __low long, __high long, __base long")
+    df = (lines.where(F.coalesce(keep, F.lit(False))) if keep is not None else lines).withColumn("__own", F.monotonically_increasing_id()).join(F.broadcast(starts), ["file", "start"], "left")
     at = F.col("__own").bitwiseAND(F.lit(_PLACE))
     sound = (F.shiftright("__own", 33) == F.col("__part")) & (at >= F.col("__low")) & (at < F.col("__high"))
     checked = lambda c: F.when(sound, c).otherwise(F.raise_error(F.lit(_MOVED)).cast("bigint"))
@@ -106,8 +134,11 @@ def first_rows(df: DataFrame, n: int, order: list[tuple[str, bool]], files: list
     files are asked, in order, that grow fourfold. Larger limits are left to a top-k over the whole scan.
     """
     key = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order]
-    if n > EARLY or any(f.dataType.typeName() in ("variant", "void") for f in df.schema.fields):
+    if n > EARLY or any(kind in f.dataType.simpleString() for f in df.schema.fields for kind in ("variant", "void", "<timestamp", ":timestamp", ",timestamp")):
         return df.orderBy(*key).limit(n)
+    names, schema = df.columns, df.schema
+    times = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp"]  # they travel as numbers, as local times are ambiguous
+    df = df.withColumns({c: F.unix_micros(c) for c in times})
     rows: list = df.limit(n).collect() if files is None else []
     at, size = 0, 1
     file = F.col(order[0][0])
@@ -116,7 +147,8 @@ def first_rows(df: DataFrame, n: int, order: list[tuple[str, bool]], files: list
         part = part if at + size >= len(files) else part.where(file <= files[at + size - 1])
         rows += (part if size == 1 < len(files) else part.orderBy(*key)).limit(n - len(rows)).collect()
         at, size = at + size, size * 4
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    out = df.sparkSession.createDataFrame(rows, df.schema).withColumns({c: F.timestamp_micros(c) for c in times})
+    return out.select(*[F.col(c) for c in names])
 
 
 def distinct_rows(df: DataFrame, columns: list[str], order: list[tuple[str, bool]], count: str | None = None) -> DataFrame:

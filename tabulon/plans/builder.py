@@ -66,7 +66,7 @@ def build(spec: QuerySpec, a: Table, b: Table | None, options: Options) -> Table
         a = a.numbered()
     if b is not None and _mentions(spec, r"\b(?:bNR|b\.NR)\b"):
         b = b.numbered()
-    wants_order = bool(spec.order_by or spec.limit is not None or spec.distinct or spec.distinct_count) and not agg or ranked or (b is not None and options.ordered)
+    wants_order = bool(spec.order_by or spec.limit is not None or spec.distinct or spec.distinct_count) and not agg or ranked or (options.ordered and (b is not None or not a.sorted and not agg))
     if wants_order:
         a, b = a.ordered(), b.ordered() if b is not None else None
     df, a_side, order = _side("a", a)
@@ -257,7 +257,7 @@ def _project(spec: QuerySpec, df: DataFrame, a: Table, names: Names, compiler: C
         places += [F.col(c) for c, _ in order]
         sort += [(c, up if not spec.descending else not up) for c, up in order]
     out = df.select(*picked, *places)
-    is_sorted = not keys and not shuffled
+    is_sorted = not keys and not shuffled and a.sorted
     if spec.distinct or spec.distinct_count:
         count = "n_1" if spec.distinct_count else None
         out = distinct_rows(out, columns, sort, count)
@@ -427,7 +427,7 @@ def _update(spec: QuerySpec, df: DataFrame, a: Table, names: Names, compiler: Co
         keep.append(F.col(side.nr))
     if a.nf:
         keep.append(F.col("a_nf"))
-    return Table(df.select(*picked, *keep), columns, a.header, order, side.nr, "a_nf" if a.nf else None, sorted=matches is None and not _mentions(spec, r"\bNU\b"), warnings=a.warnings)
+    return Table(df.select(*picked, *keep), columns, a.header, order, side.nr, "a_nf" if a.nf else None, sorted=a.sorted and matches is None and not _mentions(spec, r"\bNU\b"), warnings=a.warnings)
 
 
 def types_of(df: DataFrame) -> list[T.DataType]:

@@ -51,8 +51,8 @@ class Table:
         if self.by_file:
             df = file_numbers(self.df, self.order[0][0], self.order[1][0], NUMBER)
             return replace(self, df=df, nr=NUMBER, order=[(NUMBER, True)], by_file=None)
-        df = dense_numbers(self.df, NUMBER, self.order)
-        return replace(self, df=df, nr=NUMBER, order=[(NUMBER, True)])
+        df = dense_numbers(self.df, NUMBER, self.order)  # read back in any order of its files
+        return replace(self, df=df, nr=NUMBER, order=[(NUMBER, True)], sorted=False, one_scan=False)
 
     def ordered(self) -> Table:
         """The table with order columns; a plain DataFrame gets its partition order."""
@@ -110,13 +110,15 @@ def from_parquet(spark: SparkSession, path: str, **options: str) -> Table:
     inner = [f"c{i + 1}" for i in range(len(names))]
     picked = [F.col(f"`{n}`").alias(c) for n, c in zip(names, inner, strict=True)]
 
+    files = df.inputFiles()
+
     def placed() -> Table:
-        if len(files := df.inputFiles()) == 1:
+        if len(files) == 1:
             return Table(df.select(*picked, (F.col("_metadata.row_index") + 1).alias(NUMBER)), inner, names, [(NUMBER, True)], NUMBER, one_scan=True)
         place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
-        return Table(df.select(*picked, *place), inner, names, [("__file", True), ("__row", True)], by_file=sorted(re.sub("^([a-z0-9]+):///", r"\1:/", f) for f in files))
+        return Table(df.select(*picked, *place), inner, names, [("__file", True), ("__row", True)], by_file=sorted(re.sub("^([a-z0-9]+):///", r"\1:/", f) for f in files), sorted=False)
 
-    return Table(df.select(*picked), inner, names, placed=placed)
+    return Table(df.select(*picked), inner, names, placed=placed, sorted=len(files) <= 1)  # several files are read by size
 
 
 def from_rows(spark: SparkSession, rows: list[list], header: list[str] | None = None) -> Table:

@@ -198,7 +198,8 @@ def head_of_file(spark: SparkSession, path: str, size: int = 1_024_000, tail: bo
     lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
     lines = lines.withColumn("n", F.octet_length("value") + 1)
     picked, total = [], 0
-    for r in lines.orderBy(F.col("at").desc() if tail else F.col("at")).limit(200_000).toLocalIterator():
+    # a line takes a byte at least, so no more lines than bytes can be needed
+    for r in lines.orderBy(F.col("at").desc() if tail else F.col("at")).limit(size + 1).toLocalIterator():
         total += r["n"]
         if total > size and picked:
             break

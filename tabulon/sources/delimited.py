@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import IOHandlingError
 from ..functions.scalar import float_text, strip
 from ..lang.names import kind_of
-from ..operators.ordering import dense_numbers, rank_numbers, split_numbers
+from ..operators.ordering import Splits, count_splits, dense_numbers, rank_numbers, split_numbers
 from ..plans.table import NUMBER, WIDTH, Table
 from .dialect import Dialect, candidates
 from .scratch import scratch_path
@@ -42,7 +42,7 @@ def _comment(line: Column, d: Dialect) -> Column | None:
     return tests[0] if len(tests) == 1 else tests[0] | tests[1] if tests else None
 
 
-def records(lines: DataFrame, d: Dialect) -> DataFrame:
+def records(lines: DataFrame, d: Dialect, splits: Splits | None = None) -> DataFrame:
     """(ln, number, text): one row a record, ln the number of its first line. Comment lines go, but not inside a record.
 
     lines: (file, at, line), with the column start if they are a scan's as from read_lines. For quoted_rfc a record goes
@@ -54,7 +54,7 @@ def records(lines: DataFrame, d: Dialect) -> DataFrame:
     if d.policy != "quoted_rfc":
         keep = ~comment if comment is not None else None
         if scanned:
-            return split_numbers(lines, keep, "ln", NUMBER).select("ln", NUMBER, F.col("line").alias("text"))
+            return split_numbers(lines, keep, "ln", NUMBER, splits).select("ln", NUMBER, F.col("line").alias("text"))
         numbered = dense_numbers(lines.select("file", "at", "line"), "ln", [("file", True), ("at", True)])
         ranked = rank_numbers(numbered.where(keep), "ln", NUMBER) if keep is not None else numbered.withColumn(NUMBER, F.col("ln"))
         return ranked.select("ln", NUMBER, F.col("line").alias("text"))
@@ -169,23 +169,38 @@ def read_delimited(spark: SparkSession, path: str, d: Dialect = Dialect(), *, wi
 
 def table_of_lines(lines: DataFrame, d: Dialect, *, width: int | None = None, check: bool = True) -> Table:
     """A table of lines (file, at, line), in the order of file and at."""
-    numbered = records(lines, d).withColumn("f", fields(F.col("text"), d)).withColumn("bad", broken_quotes(F.col("text"), d))
     warnings: list[str] = []
+    splits = made = None
+    whole_lines = "start" in lines.columns and d.policy != "quoted_rfc" and not (d.comment_prefix or d.comment_regex)
     if check or width is None:
-        size = F.size("f")
-        per_width = numbered.groupBy(size.alias("n")).agg(F.min(NUMBER).alias("r"), F.min(F.when(F.col("bad"), F.col("ln"))).alias("bad")).orderBy("r").collect()
-        width = max((r["n"] for r in per_width), default=0)
-        bad = min((r["bad"] for r in per_width if r["bad"] is not None), default=None)
+        if whole_lines:  # every line is a record, so one pass counts the splits and tells the widths apart
+            parsed = lines.withColumn("f", fields(F.col("line"), d)).withColumn("bad", broken_quotes(F.col("line"), d))
+            found = parsed.groupBy("file", "start", F.size("f").alias("w")).agg(
+                F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.count(F.lit(1)).alias("kept"), F.min(F.when(F.col("bad"), F.col("at"))).alias("bad")).collect()
+            splits = Splits.of(found)
+            firsts = sorted((min(splits.line(r["file"], r["start"], r["at"]) for r in found if r["w"] == w), w) for w in {r["w"] for r in found})
+            bad = min((splits.line(r["file"], r["start"], r["bad"]) for r in found if r["bad"] is not None), default=None)
+        else:
+            if "start" in lines.columns and d.policy != "quoted_rfc":
+                splits = count_splits(lines, ~_comment(F.col("line"), d))
+            made = records(lines, d, splits)
+            seen = made.withColumn("n", F.size(fields(F.col("text"), d))).withColumn("bad", broken_quotes(F.col("text"), d))
+            per_width = seen.groupBy("n").agg(F.min(NUMBER).alias("r"), F.min(F.when(F.col("bad"), F.col("ln"))).alias("bad")).collect()
+            firsts = sorted((r["r"], r["n"]) for r in per_width)
+            bad = min((r["bad"] for r in per_width if r["bad"] is not None), default=None)
+        width = max((w for _, w in firsts), default=0)
         if bad is not None:
             if d.policy == "quoted_rfc":
                 raise IOHandlingError(f"Inconsistent double quotes at line {bad}")
             warnings.append(f"Inconsistent double quotes, first at line {bad}")
-        if len(per_width) > 1:
-            a, b = per_width[:2]
-            warnings.append(f"Number of fields is not consistent: record {a['r']} has {a['n']}, record {b['r']} has {b['n']}")
+        if len(firsts) > 1:
+            (r1, w1), (r2, w2) = firsts[:2]
+            warnings.append(f"Number of fields is not consistent: record {r1} has {w1}, record {r2} has {w2}")
+    numbered = (made if made is not None else records(lines, d, splits)).withColumn("f", fields(F.col("text"), d))
     columns = [f"c{i + 1}" for i in range(width)]
     df = numbered.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(columns)], NUMBER, F.size("f").alias(WIDTH))
-    whole = Table(df, columns, None, [(NUMBER, True)], NUMBER, WIDTH, warnings=warnings)
+    one = splits is not None and len({s[0] for s in splits.starts}) <= 1  # several files are read by size
+    whole = Table(df, columns, None, [(NUMBER, True)], NUMBER, WIDTH, warnings=warnings, sorted=one, one_scan=one)
     first_row = df.where(F.col(NUMBER) == 1).first()
     first = [first_row[c] or "" for c in columns] if first_row else []
     out = _headed(whole, first) if d.header else whole
