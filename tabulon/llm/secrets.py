@@ -47,15 +47,19 @@ def _sql(pattern: str) -> str:
 def _spans(text: str, pattern: str, group: int = 0) -> str:
     """SQL for the matches of a pattern as array<struct<s, e, v>> in code points; v is a group's text.
 
-    What split() leaves between matches gives their places.
+    What split() leaves between matches gives their places, which are summed up by runs of 256 matches, as an array
+    that grows by one element at a time would cost the square of their number.
     """
     p = _sql(pattern)
-    return f"""aggregate(
-      filter(arrays_zip(regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}), split({text}, {p}, -1)), x -> x['0'] is not null),
-      named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,v:string>>)),
-      (a, x) -> named_struct('at', a.at + length(x['2']) + length(x['0']),
-        'out', concat(a.out, array(named_struct('s', a.at + length(x['2']), 'e', a.at + length(x['2']) + length(x['0']), 'v', x['1'])))),
-      a -> a.out)"""
+    step = """named_struct('at', a.at + length(x['2']) + length(x['0']),
+        'out', concat(a.out, array(named_struct('s', a.at + length(x['2']), 'e', a.at + length(x['2']) + length(x['0']), 'v', x['1']))))"""
+    none = "cast(array() as array<struct<s:int,e:int,v:string>>)"
+    return f"""element_at(transform(array(
+      filter(arrays_zip(regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}), split({text}, {p}, -1)), x -> x['0'] is not null)),
+      z -> aggregate(sequence(0, (size(z) - 1) div 256), named_struct('at', 0, 'out', cast(array() as array<array<struct<s:int,e:int,v:string>>>)),
+        (b, j) -> element_at(transform(array(aggregate(slice(z, cast(j * 256 + 1 as int), 256), named_struct('at', b.at, 'out', {none}), (a, x) -> {step})),
+          r -> named_struct('at', r.at, 'out', concat(b.out, array(r.out)))), 1),
+        b -> flatten(b.out))), 1)"""
 
 
 def window_entropy(text: str, window: int) -> str:
