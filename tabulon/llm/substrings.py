@@ -31,7 +31,7 @@ from .textbatch import U64, Batch, slices
 #: A perfect difference set, 8 residues whose differences give every residue modulo 57 once.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 SLICE_BYTES = 2_000_000
-BUCKET_NAMES = 500_000  # names that a bucket holds on average, at most
+BUCKET_NAMES = 1_000_000  # names that a bucket holds on average, at most
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -50,7 +50,7 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def pack_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=6).compress(data)
 
 
 def unpack_bytes(data: bytes) -> bytes:
